@@ -104,4 +104,4 @@ def interaction_scores(
     known = keyed_join(known, touchpoints.select(touchpoint), [touchpoint], "left_semi")
     digest = F.md5(F.concat_ws(":", F.col(customer), F.col(touchpoint)).cast("binary"))
     score = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
-    return known.withColumn("score", score)
+    return known.select(customer, touchpoint, score.alias("score"))

@@ -30,15 +30,13 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_text_feed(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Read a headed CSV feed with every column as text, blanks kept as blanks."""
+    """Read a headed CSV feed with every column as text; an empty field is a blank, never null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     try:
-        return (
+        feed = (
             spark.read.schema(schema)
             .option("header", True)
             .option("enforceSchema", False)
-            .option("emptyValue", "")
-            .option("nullValue", "\u0000")
             .option("mode", "FAILFAST")
             .csv(path)
         )
@@ -46,6 +44,7 @@ def scan_text_feed(spark: SparkSession, path: str, columns: Sequence[str]) -> Da
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FeedMissing(f"no text feed at {path}; check where it is delivered") from error
         raise
+    return feed.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
 def typed_rows(spark: SparkSession, rows: Sequence[tuple[Any, ...]], schema: str | T.StructType) -> DataFrame:
