@@ -112,9 +112,11 @@ def billing_gold(store: Store, as_of: date = billing.AS_OF) -> None:
     subscriptions = store.read("bl_subscriptions_silver")
     mrr = store.publish("bl_mrr_monthly", billing.mrr_monthly(subscriptions, as_of))
     now = mrr.where(F.col("month") == F.lit(month_start(as_of)))
-    # A subscription that starts after `as_of` runs but is not part of the reporting month yet.
+    # In the reporting month: started by then, and not ended in it or before.
+    month = F.lit(month_start(as_of))
     running = subscriptions.where(
-        F.col("end_date").isNull() & (F.trunc("start_date", "month") <= F.lit(month_start(as_of)))
+        (F.trunc("start_date", "month") <= month)
+        & (F.col("end_date").isNull() | (F.trunc("end_date", "month") > month))
     )
     active = F.coalesce(F.sum("active_subscriptions"), F.lit(0))
     require_equal_totals(now, active, running, F.count(F.lit(1)))
