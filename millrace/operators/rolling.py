@@ -26,12 +26,14 @@ def rolling_rows(
     rows: int = 7,
     tie_break: Sequence[str] = (),
     max_rows_per_task: int = MAX_ROWS_PER_TASK,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Metrics over the current row and the `rows - 1` before it, per `key` in `day` order.
 
     `tie_break` orders the rows of one day; all other columns follow, so a rerun gives the same
-    frames. Keys above `max_rows_per_task` rows are numbered bucket by bucket and then framed in
-    blocks, each block starting with copies of the `rows - 1` rows before it.
+    frames. Keys above `max_rows_per_task` rows are numbered by `bucket` (the date; it must not
+    decrease along the order) and then framed in blocks, each block starting with copies of the
+    `rows - 1` rows before it.
     """
     if not 1 < rows <= max_rows_per_task:
         raise ValueError("rows must be at least 2 and at most max_rows_per_task")
@@ -50,7 +52,7 @@ def rolling_rows(
     feeds_next = place % max_rows_per_task > max_rows_per_task - rows
     copies = F.when(feeds_next, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     blocks = (
-        rank_in_buckets(hot, key, order, F.col(day).cast("date"))
+        rank_in_buckets(hot, key, order, F.col(day).cast("date") if bucket is None else bucket)
         .withColumn("__copy", F.explode(copies))
         .withColumn("__block", block + F.col("__copy").cast("int"))
     )

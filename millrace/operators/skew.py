@@ -1,4 +1,4 @@
-"""Ordering one key's rows without putting a busy key into one task."""
+"""Joining and ordering a busy key's rows without putting them into one task."""
 
 from __future__ import annotations
 
@@ -57,3 +57,53 @@ def rank_rows(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """Row number of every row within its key, as column `__rank`, one task per key."""
     number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn(RANK, number.cast("bigint"))
+
+
+SPREAD = 4096
+
+
+def enrich_hot(
+    facts: DataFrame,
+    dimension: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    counted: DataFrame | None = None,
+    max_rows: int = MAX_ROWS_PER_TASK,
+) -> DataFrame:
+    """Left or inner join to a dimension with unique keys that also holds for keys with most rows.
+
+    Spark splits a skewed join only where both sides are shuffled for it, which a dimension cleaned
+    in the same plan is not. So the dimension rows of hot keys are broadcast: as keys are unique,
+    there are at most (fact rows / `max_rows`) of them. Facts of hot and of null keys are spread over
+    the tasks of the ordinary join, in which they meet no row. `counted` may be a cheaper table with
+    at least the facts' rows per key.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("how must be left or inner")
+    keys = list(keys)
+    values = [c for c in dimension.columns if c not in keys]
+    hot_names = {v: f"__hot_{v}" for v in values}
+    rows_of_key = (facts if counted is None else counted).groupBy(*keys).agg(
+        F.count("*").alias("__rows")
+    )
+    hot_keys = F.broadcast(rows_of_key.where(F.col("__rows") > max_rows).select(*keys))
+    dimension = dimension.withColumn("__found", F.lit(True))
+    hot_rows = dimension.join(hot_keys, keys, "left_semi").withColumnsRenamed(
+        {**hot_names, "__found": "__hot"}
+    )
+
+    marked = facts.join(F.broadcast(hot_rows), keys, "left")
+    apart = F.col("__hot").isNotNull()
+    for key in keys:
+        apart = apart | F.col(key).isNull()
+    part = F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD)).cast("int") + 1
+    marked = marked.withColumn("__spread", F.when(apart, part).otherwise(0))
+    # Always 0, but not a literal: a literal would stop being a join key and leave the facts skewed.
+    ordinary = dimension.withColumn("__spread", F.pmod(F.hash(*keys), F.lit(1)))
+
+    joined = marked.join(ordinary, [*keys, "__spread"], "left")
+    if how == "inner":
+        joined = joined.where(F.coalesce("__hot", "__found"))
+    merged = [F.when(F.col("__hot"), F.col(hot_names[v])).otherwise(F.col(v)).alias(v) for v in values]
+    ordered = [*keys, *[c for c in facts.columns if c not in keys]]
+    return joined.select(*ordered, *merged)

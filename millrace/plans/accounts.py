@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.money import count_where, mean_decimal, sum_where
 from millrace.functions.text import blank_to_null, lenient, title_case, upper_code, yes_no
 from millrace.operators.joins import enrich
-from millrace.operators.keyed import first_per_key
+from millrace.operators.keyed import first_per_trimmed_key
 
 # Fixed values.
 INDUSTRIES = ["Software", "Retail", "Healthcare", "Finance", "Manufacturing"]
@@ -40,9 +40,9 @@ TIER_COLUMNS = [
 
 def clean_crm_accounts(raw: DataFrame) -> DataFrame:
     """One typed row per account, the first by name. Malformed numbers and dates raise."""
-    one = first_per_key(raw, [F.trim("account_id")], ["account_name"])
+    one = first_per_trimmed_key(raw.select(*ACCOUNT_COLUMNS), "account_id", ["account_name"])
     return one.select(
-        F.trim("account_id").alias("account_id"),
+        "account_id",
         F.trim("account_name").alias("account_name"),
         title_case("industry").alias("industry"),
         upper_code("billing_country").alias("billing_country"),
@@ -57,10 +57,10 @@ def clean_tiers(raw: DataFrame) -> DataFrame:
     """One typed row per account, the newest `tier_since` text first. Unreadable values become null,
     unknown tiers `Unassigned`."""
     newest = [F.col("tier_since").desc_nulls_last(), F.col("tier")]
-    one = first_per_key(raw, [F.trim("account_id")], newest)
+    one = first_per_trimmed_key(raw.select("account_id", *TIER_COLUMNS), "account_id", newest)
     tier = title_case("tier")
     return one.select(
-        F.trim("account_id").alias("account_id"),
+        "account_id",
         F.when(tier.isin(TIERS), tier).otherwise(NO_TIER).alias("tier"),
         lenient("tier_since", "date").alias("tier_since"),
         lenient("renewal_date", "date").alias("renewal_date"),

@@ -25,7 +25,8 @@ from millrace.functions.text import (
     upper_code,
 )
 from millrace.operators.joins import enrich, keyed_join
-from millrace.operators.keyed import first_per_key
+from millrace.operators.keyed import first_per_trimmed_key
+from millrace.operators.skew import enrich_hot
 
 # Last day of the data, and the days-since-issue limits of the aging buckets.
 AS_OF = date(2026, 9, 30)
@@ -68,18 +69,18 @@ INVOICE_COLUMNS = [
 
 
 def clean_billing_accounts(raw: DataFrame) -> DataFrame:
-    one = first_per_key(raw, [F.trim("account_id")], ["account_name"])
-    return one.select(
-        F.trim("account_id").alias("account_id"),
+    used = raw.select("account_id", "account_name", "country", "industry")
+    return first_per_trimmed_key(used, "account_id", ["account_name"]).select(
+        "account_id",
         upper_code("country").alias("country"),
         lower_code("industry").alias("industry"),
     )
 
 
 def clean_plans(raw: DataFrame) -> DataFrame:
-    one = first_per_key(raw, [F.trim("plan_id")], ["plan_name"])
-    return one.select(
-        F.trim("plan_id").alias("plan_id"),
+    used = raw.select("plan_id", "plan_name", "tier", "billing_period", "list_price")
+    return first_per_trimmed_key(used, "plan_id", ["plan_name"]).select(
+        "plan_id",
         lower_code("tier").alias("plan_tier"),
         lower_code("billing_period").alias("billing_period"),
         amount_text("list_price").alias("list_price"),
@@ -88,8 +89,18 @@ def clean_plans(raw: DataFrame) -> DataFrame:
 
 def subscriptions_silver(subscriptions: DataFrame, plans: DataFrame, accounts: DataFrame) -> DataFrame:
     """One typed row per subscription with its plan, its account and its monthly revenue."""
-    typed = first_per_key(subscriptions, [F.trim("subscription_id")], ["start_date"]).select(
-        F.trim("subscription_id").alias("subscription_id"),
+    used = subscriptions.select(
+        "subscription_id",
+        "account_id",
+        "plan_id",
+        "start_date",
+        "end_date",
+        "seats",
+        "discount_pct",
+        "status",
+    )
+    typed = first_per_trimmed_key(used, "subscription_id", ["start_date"]).select(
+        "subscription_id",
         F.trim("account_id").alias("account_id"),
         F.trim("plan_id").alias("plan_id"),
         strict_date("start_date").alias("start_date"),
@@ -108,12 +119,12 @@ def subscriptions_silver(subscriptions: DataFrame, plans: DataFrame, accounts: D
     seats = F.col("seats").cast("decimal(9,0)")
     share = (100 - F.col("discount_pct")).cast("decimal(5,0)")
     mrr = F.round(F.col("list_price") * seats * share / months, 2).cast("double")
-    with_plan = enrich(typed, clean_plans(plans), ["plan_id"])
-    return (
-        enrich(with_plan, holders, ["account_id"])
-        .withColumn("mrr_usd", mrr)
-        .select(*SUBSCRIPTION_COLUMNS)
+    trimmed = subscriptions.select(
+        F.trim("plan_id").alias("plan_id"), F.trim("account_id").alias("account_id")
     )
+    with_plan = enrich_hot(typed, clean_plans(plans), ["plan_id"], counted=trimmed)
+    with_holder = enrich_hot(with_plan, holders, ["account_id"], counted=trimmed)
+    return with_holder.withColumn("mrr_usd", mrr).select(*SUBSCRIPTION_COLUMNS)
 
 
 def paid_per_invoice(payments: DataFrame) -> DataFrame:
@@ -121,7 +132,8 @@ def paid_per_invoice(payments: DataFrame) -> DataFrame:
 
     Converted amounts are summed unrounded, then rounded.
     """
-    one = first_per_key(payments, [F.trim("payment_id")], ["paid_date"])
+    used = payments.select("payment_id", "invoice_id", "paid_date", "amount", "currency")
+    one = first_per_trimmed_key(used, "payment_id", ["paid_date"])
     usd = usd_exact(amount_text("amount"), "currency", BILLING_RATES)
     return (
         one.select(
@@ -139,8 +151,18 @@ def paid_per_invoice(payments: DataFrame) -> DataFrame:
 
 def invoices_silver(invoices: DataFrame, payments: DataFrame, accounts: DataFrame) -> DataFrame:
     """One typed row per invoice or credit note with what was paid on it."""
-    typed = first_per_key(invoices, [F.trim("invoice_id")], ["issue_date"]).select(
-        F.trim("invoice_id").alias("invoice_id"),
+    used = invoices.select(
+        "invoice_id",
+        "account_id",
+        "subscription_id",
+        "invoice_type",
+        "credit_for",
+        "issue_date",
+        "amount",
+        "currency",
+    )
+    typed = first_per_trimmed_key(used, "invoice_id", ["issue_date"]).select(
+        "invoice_id",
         F.trim("account_id").alias("account_id"),
         F.trim("subscription_id").alias("subscription_id"),
         lower_code("invoice_type").alias("invoice_type"),
@@ -160,9 +182,9 @@ def invoices_silver(invoices: DataFrame, payments: DataFrame, accounts: DataFram
         .otherwise("open")
     )
     settled = enrich(typed, paid_per_invoice(payments), ["invoice_id"]).withColumn("paid_usd", paid)
-    return (
-        enrich(settled.withColumn("status", status), holders, ["account_id"]).select(*INVOICE_COLUMNS)
-    )
+    trimmed = invoices.select(F.trim("account_id").alias("account_id"))
+    with_holder = enrich_hot(settled, holders, ["account_id"], counted=trimmed)
+    return with_holder.withColumn("status", status).select(*INVOICE_COLUMNS)
 
 
 def mrr_monthly(subscriptions: DataFrame, as_of: date = AS_OF) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import whole_number_or_zero
-from millrace.operators.joins import match
 from millrace.operators.keyed import first_per_key, latest_per_key
+from millrace.operators.skew import enrich_hot
 
 
 def adjusted_orders(orders: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def order_discount(orders: DataFrame) -> DataFrame:
 def enriched_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders with their customer's latest record, one row per order."""
     latest = latest_per_key(customers, ["customer_id"], "_ingest_seq").drop("_ingest_seq")
-    return match(orders, latest, ["customer_id"])
+    return enrich_hot(orders, latest, ["customer_id"], "inner")
 
 
 def silver_customers(customers: DataFrame) -> DataFrame:
@@ -45,4 +45,5 @@ def silver_customers(customers: DataFrame) -> DataFrame:
 
 
 def global_reporting(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    return match(orders, customers, ["customer_id"])
+    """Orders of known customers. `customers` holds one row per customer."""
+    return enrich_hot(orders, customers, ["customer_id"], "inner")

@@ -15,7 +15,8 @@ from millrace.functions.money import (
 )
 from millrace.functions.text import is_yes, lower_code, strict_date, upper_code
 from millrace.operators.joins import enrich
-from millrace.operators.keyed import first_per_key
+from millrace.operators.keyed import first_per_trimmed_key
+from millrace.operators.skew import enrich_hot
 
 SUPPLIER_COLUMNS = [
     "supplier_id",
@@ -58,10 +59,22 @@ _NET_DAYS = r"Net (\d+)"
 
 def clean_suppliers(raw: DataFrame) -> DataFrame:
     """One typed row per supplier. The country stays as typed; terms without net days are null."""
-    one = first_per_key(raw, [F.trim("supplier_id")])
+    used = raw.select(
+        "supplier_id",
+        "supplier_name",
+        "country",
+        "city",
+        "category",
+        "payment_terms",
+        "onboarded_date",
+        "is_preferred",
+        "annual_contract_value",
+        "currency",
+    )
+    one = first_per_trimmed_key(used, "supplier_id")
     contract = amount_text("annual_contract_value")
     return one.select(
-        F.trim("supplier_id").alias("supplier_id"),
+        "supplier_id",
         F.trim("supplier_name").alias("supplier_name"),
         F.trim("country").alias("country"),
         F.trim("city").alias("city"),
@@ -77,8 +90,18 @@ def clean_suppliers(raw: DataFrame) -> DataFrame:
 def purchase_orders(raw: DataFrame, suppliers: DataFrame) -> DataFrame:
     """One typed row per purchase order with its supplier; an unknown supplier leaves nulls."""
     amount = amount_text("amount")
-    typed = first_per_key(raw, [F.trim("po_id")]).select(
-        F.trim("po_id").alias("po_id"),
+    used = raw.select(
+        "po_id",
+        "supplier_id",
+        "po_date",
+        "amount",
+        "currency",
+        "status",
+        "buyer_team",
+        "line_items",
+    )
+    typed = first_per_trimmed_key(used, "po_id").select(
+        "po_id",
         F.trim("supplier_id").alias("supplier_id"),
         strict_date("po_date").alias("po_date"),
         lower_code("status").alias("status"),
@@ -90,7 +113,8 @@ def purchase_orders(raw: DataFrame, suppliers: DataFrame) -> DataFrame:
     named = suppliers.select(
         "supplier_id", "supplier_name", F.col("country").alias("supplier_country")
     )
-    return enrich(typed, named, ["supplier_id"]).select(*PO_COLUMNS)
+    trimmed = raw.select(F.trim("supplier_id").alias("supplier_id"))
+    return enrich_hot(typed, named, ["supplier_id"], counted=trimmed).select(*PO_COLUMNS)
 
 
 def spend_by_country(orders: DataFrame, suppliers: DataFrame) -> DataFrame:

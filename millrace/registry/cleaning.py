@@ -30,7 +30,7 @@ _BILLING = {"USD": "1", "EUR": "1.08", "GBP": "1.27", "INR": "0.012", "AUD": "0.
 
 
 def first_rows(view: str, key: str, order: list[str], columns: list[str]) -> str:
-    """The first row per trimmed key of a view, ties broken by its remaining columns in order."""
+    """The first row per trimmed key of a view, ties broken by the other columns used, in order."""
     by = [f"{c} ASC NULLS FIRST" for c in order + [c for c in columns if c not in order]]
     return (
         f"(SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY trim({key}) "
@@ -42,7 +42,7 @@ _SUPPLIERS = first_rows(
     "suppliers_raw",
     "supplier_id",
     [],
-    ["supplier_id", "supplier_name", "country", "city", "category", "payment_terms",
+    ["supplier_name", "country", "city", "category", "payment_terms",
      "onboarded_date", "is_preferred", "annual_contract_value", "currency"],
 )
 SUPPLIERS_CTE = f"""clean_suppliers AS (
@@ -59,9 +59,8 @@ _POS = first_rows(
     "purchase_orders_raw",
     "po_id",
     [],
-    ["po_id", "supplier_id", "po_date", "amount", "currency", "status", "buyer_team", "line_items",
-     "delivery_site"],
-)
+    ["supplier_id", "po_date", "amount", "currency", "status", "buyer_team", "line_items"],
+)
 PURCHASES_CTE = f"""{SUPPLIERS_CTE}, purchases AS (
     SELECT trim(p.po_id) AS po_id, trim(p.supplier_id) AS supplier_id, s.supplier_name,
       s.country AS supplier_country, CAST(p.po_date AS DATE) AS po_date,
@@ -74,7 +73,7 @@ _HOLDERS = first_rows(
     "billing_accounts_raw",
     "account_id",
     ["account_name"],
-    ["account_id", "account_name", "country", "industry", "signup_date"],
+    ["country", "industry"],
 )
 HOLDERS_CTE = f"""holders AS (
     SELECT trim(account_id) AS account_id, upper(trim(country)) AS country,
@@ -83,15 +82,14 @@ _PLANS = first_rows(
     "plans_raw",
     "plan_id",
     ["plan_name"],
-    ["plan_id", "plan_name", "tier", "billing_period", "list_price", "currency"],
+    ["tier", "billing_period", "list_price"],
 )
 _SUBS = first_rows(
     "subscriptions_raw",
     "subscription_id",
     ["start_date"],
-    ["subscription_id", "account_id", "plan_id", "start_date", "end_date", "seats",
-     "discount_pct", "status"],
-)
+    ["account_id", "plan_id", "end_date", "seats", "discount_pct", "status"],
+)
 # Monthly revenue in whole cents: hundredths of a cent over 100, or over 1200 for an annual plan.
 SUBSCRIPTIONS_CTE = f"""{HOLDERS_CTE}, plan AS (
     SELECT trim(plan_id) AS plan_id, lower(trim(tier)) AS plan_tier,
@@ -115,14 +113,13 @@ _INVOICES = first_rows(
     "invoices_raw",
     "invoice_id",
     ["issue_date"],
-    ["invoice_id", "account_id", "subscription_id", "invoice_type", "credit_for", "issue_date",
-     "due_date", "amount", "currency"],
-)
+    ["account_id", "subscription_id", "invoice_type", "credit_for", "amount", "currency"],
+)
 _PAYMENTS = first_rows(
     "payments_raw",
     "payment_id",
     ["paid_date"],
-    ["payment_id", "invoice_id", "paid_date", "amount", "currency"],
+    ["invoice_id", "amount", "currency"],
 )
 PAID_CTE = f"""paid AS (
     SELECT trim(invoice_id) AS invoice_id,

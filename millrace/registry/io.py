@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.rules import PROMISED_DAYS
-from millrace.operators.joins import enrich_small
+from millrace.operators.joins import enrich, enrich_small
 from millrace.operators.keyed import net_changes
 from millrace.plans import reconcile, sales
 from millrace.plans.shipping import FEED_COLUMNS
@@ -42,18 +42,22 @@ def _(v: Inputs) -> DataFrame:
 
 @query(
     "scan_parquet_enrich",
-    oracle="""SELECT c_custkey AS customer_id, c_mktsegment AS segment, o_orderkey AS order_id
-    FROM customer LEFT JOIN orders ON c_custkey = o_custkey""",
+    oracle="""SELECT c_custkey AS customer_id, c_mktsegment AS segment, n AS orders, total AS total_price
+    FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n,
+      CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS total
+      FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey""",
 )
 def _(v: Inputs) -> DataFrame:
+    """The feed is brought to one row per customer before the join."""
     feed = readers.scan_parquet(v.spark, v.path("orders"))
     customers = v.table("customer").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment")
     )
-    attributes = feed.select(
-        F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("order_id")
+    attributes = feed.groupBy(F.col("o_custkey").alias("customer_id")).agg(
+        F.count("*").alias("orders"),
+        F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("total_price"),
     )
-    return customers.join(attributes, ["customer_id"], "left")
+    return enrich(customers, attributes, ["customer_id"])
 
 
 @query(

@@ -81,7 +81,7 @@ TIERS_CTE = f"""clean_tiers AS (
     SELECT trim(account_id) AS account_id, {_TIER_FIELDS} FROM (
       SELECT *, upper(left(trim(tier), 1)) || lower(substr(trim(tier), 2)) AS initcapped,
         row_number() OVER (PARTITION BY trim(account_id) ORDER BY tier_since DESC NULLS LAST,
-          tier ASC NULLS FIRST, account_id NULLS FIRST, renewal_date NULLS FIRST,
+          tier ASC NULLS FIRST, renewal_date NULLS FIRST,
           health_score NULLS FIRST, is_strategic NULLS FIRST, region_owner_team NULLS FIRST) AS n
       FROM crm_tiers_raw) WHERE n = 1)"""
 
@@ -93,7 +93,7 @@ ACCOUNTS_CTE = """clean_accounts AS (
       CAST(employee_count AS INTEGER) AS employee_count, CAST(created_date AS DATE) AS created_date,
       trim(owner_team) AS owner_team
     FROM (SELECT *, row_number() OVER (PARTITION BY trim(account_id)
-            ORDER BY account_name NULLS FIRST, account_id NULLS FIRST) AS n FROM crm_accounts_raw)
+            ORDER BY account_name NULLS FIRST, industry NULLS FIRST) AS n FROM crm_accounts_raw)
     WHERE n = 1)"""
 
 SILVER_CTE = f"""{TIERS_CTE}, {ACCOUNTS_CTE}, accounts_silver AS (
