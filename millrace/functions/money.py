@@ -77,3 +77,9 @@ def mean_decimal(amount: Column, data_type: str) -> Column:
     """
     scale = int(data_type.rstrip(")").split(",")[1])
     return ratio(F.sum(amount), F.count(amount).cast("decimal(20,0)"), scale).cast(data_type)
+
+
+def mean(amount: Column | str) -> Column:
+    """Sum over count. Beside a sum of the same column Spark computes that sum once, which `avg` would
+    repeat."""
+    return F.try_divide(F.sum(amount), F.count(amount))

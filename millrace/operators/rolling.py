@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from millrace.operators.skew import MAX_ROWS_PER_TASK, RANK, rank_in_buckets, split_hot
 
 
-def _metrics(amount: str, window) -> dict[str, Column]:
-    return {
-        "rolling_revenue": F.sum(amount).over(window),
-        "rolling_order_count": F.count(amount).over(window),
-        "rolling_avg_order_value": F.avg(amount).over(window),
-    }
+def _with_metrics(df: DataFrame, revenue: Column, orders: Column) -> DataFrame:
+    """Sum, count and their quotient, so that each row's frame is walked for two functions only."""
+    summed = df.withColumns({"rolling_revenue": revenue, "rolling_order_count": orders})
+    average = F.try_divide("rolling_revenue", "rolling_order_count")
+    return summed.withColumn("rolling_avg_order_value", average)
 
 
 def rolling_rows(
@@ -45,7 +44,7 @@ def rolling_rows(
     cold, hot = split_hot(df, key, max_rows_per_task)
 
     frame = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    plain = cold.withColumns(_metrics(amount, frame))
+    plain = _with_metrics(cold, F.sum(amount).over(frame), F.count(amount).over(frame))
 
     place = F.col(RANK) - 1
     block = F.floor(place / max_rows_per_task)
@@ -57,7 +56,8 @@ def rolling_rows(
         .withColumn("__block", block + F.col("__copy").cast("int"))
     )
     in_block = Window.partitionBy(key, "__block").orderBy(RANK).rowsBetween(-(rows - 1), 0)
-    split = blocks.withColumns(_metrics(amount, in_block)).where(~F.col("__copy"))
+    split = _with_metrics(blocks, F.sum(amount).over(in_block), F.count(amount).over(in_block))
+    split = split.where(~F.col("__copy"))
     return plain.unionByName(split.select(*plain.columns))
 
 
@@ -75,12 +75,5 @@ def rolling_days(df: DataFrame, key: str, day: str, amount: str, days: int = 7)
         .orderBy(F.unix_date(F.col(day)))
         .rangeBetween(-(days - 1), Window.currentRow)
     )
-    return totals.select(
-        key,
-        day,
-        F.sum("__sum").over(window).alias("rolling_revenue"),
-        F.sum("__count").over(window).alias("rolling_order_count"),
-        F.try_divide(F.sum("__sum").over(window), F.sum("__count").over(window)).alias(
-            "rolling_avg_order_value"
-        ),
-    )
+    revenue, orders = F.sum("__sum").over(window), F.sum("__count").over(window)
+    return _with_metrics(totals, revenue, orders).drop("__sum", "__count")

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.money import mean
+
 DAILY_KEYS = ["store_id", "product_category", "sale_date"]
 
 
@@ -17,7 +19,7 @@ def daily_sales(transactions: DataFrame, run_date: date | None = None) -> DataFr
     return transactions.groupBy(*DAILY_KEYS).agg(
         F.sum("revenue").alias("total_revenue"),
         F.sum("quantity").alias("total_units"),
-        F.avg("revenue").alias("avg_order_value"),
+        mean("revenue").alias("avg_order_value"),
         F.count("transaction_id").alias("transaction_count"),
     )
 

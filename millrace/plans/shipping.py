@@ -24,9 +24,9 @@ FEED_COLUMNS = [
 def weight_kg(c: Column | str) -> Column:
     """Kilograms from `1,235.95 kg`, `31150 g` or a bare number of kilograms; other text raises."""
     text = F.lower(F.translate(F.trim(col(c)), ",", ""))
-    number = F.trim(F.regexp_replace(text, "(kg|g)$", "")).cast("double")
-    grams = text.endswith("g") & ~text.endswith("kg")
-    return F.when(grams, number / 1000).otherwise(number)
+    unit = F.when(text.endswith("kg"), 2).when(text.endswith("g"), 1).otherwise(0)
+    number = F.trim(F.left(text, F.length(text) - unit)).cast("double")
+    return number / F.when(unit == 1, 1000.0).otherwise(1.0)
 
 
 def freight_usd(c: Column | str) -> Column:

@@ -9,16 +9,16 @@ from __future__ import annotations
 from millrace.functions.countries import SPELLINGS
 
 
-def _comma_money(amount: str) -> str:
-    """`1,234.50` for a non-negative decimal(12,2)."""
-    whole = f"cast(floor({amount}) as bigint)"
-    thousands = f"cast(cast(floor({amount} / 1000) as bigint) as string)"
-    units = f"lpad(cast({whole} % 1000 as string), 3, '0')"
-    cents = f"lpad(cast(cast(floor({amount} * 100) as bigint) % 100 as string), 2, '0')"
-    return (
-        f"case when {amount} >= 1000 then concat({thousands}, ',', {units}, '.', {cents}) "
-        f"else cast({amount} as string) end"
-    )
+def _with_price(table: str, column: str) -> str:
+    """The table with `price`, a decimal(12,2) amount as text."""
+    return f"(select *, cast(cast({column} as decimal(12,2)) as string) as price from {{{table}}})"
+
+
+# `1,234.50` for a non-negative `price`.
+_COMMA_PRICE = (
+    "case when length(price) > 6 then concat(substr(price, 1, length(price) - 6), ',', "
+    "substr(price, length(price) - 5)) else price end"
+)
 
 
 def _money(column: str) -> str:
@@ -293,10 +293,10 @@ select concat(' SP', cast(s_suppkey as string)) as supplier_id, concat(s_name, '
   cast(date '2018-01-01' + cast(s_suppkey % 2000 as int) as string) as onboarded_date,
   case s_suppkey % 6 when 0 then 'yes' when 1 then '1' when 2 then ' TRUE ' when 3 then 'no'
     when 4 then '' else 'false' end as is_preferred,
-  {_comma_money("cast(abs(s_acctbal) as decimal(12,2))")} as annual_contract_value,
+  {_COMMA_PRICE} as annual_contract_value,
   case s_nationkey % 9 when 0 then 'usd' when 1 then 'GBP' when 2 then 'EUR' when 3 then ' inr '
     when 4 then 'JPY' when 5 then 'AED' when 6 then 'cad' when 7 then 'AUD' else 'XXX' end as currency
-from {{supplier}}
+from {_with_price("supplier", "abs(s_acctbal)")}
 union all
 select concat('SP', cast(s_suppkey as string), ' '), concat('repeat of ', s_name), 'Japan', 'City', 'Other',
   'Net 10', '2017-01-01', 'no', '1.00', 'USD'
@@ -307,14 +307,14 @@ VIEWS["purchase_orders_raw"] = f"""
 select concat('PO', {_LINE_REF}) as po_id,
   case when l_returnflag = 'N' and l_linenumber = 7 then 'SP-none'
     else concat(' SP', cast(l_suppkey as string)) end as supplier_id,
-  {_day_text("l_shipdate")} as po_date, {_comma_money(_money("l_extendedprice"))} as amount,
+  {_day_text("l_shipdate")} as po_date, {_COMMA_PRICE} as amount,
   case l_partkey % 9 when 0 then 'usd' when 1 then 'GBP' when 2 then 'EUR' when 3 then ' inr '
     when 4 then 'JPY' when 5 then 'AED' when 6 then 'cad' when 7 then 'AUD' else 'XXX' end as currency,
   case when l_returnflag = 'R' then 'Cancelled' when l_linestatus = 'O' then ' open ' else 'Received' end
     as status,
   concat('Buyer ', cast(l_suppkey % 4 as string)) as buyer_team,
   concat(cast(cast(l_quantity as int) as string), ' ') as line_items, 'HQ' as delivery_site
-from {{lineitem}}
+from {_with_price("lineitem", "l_extendedprice")}
 """
 
 # Billing
@@ -335,8 +335,8 @@ select concat('P', cast(p_size as string)) as plan_id, p_name as plan_name,
   case p_size % 4 when 0 then 'Starter' when 1 then ' growth' when 2 then 'BUSINESS'
     else 'enterprise' end as tier,
   case when p_size % 3 = 0 then 'Annual' else 'monthly ' end as billing_period,
-  {_comma_money(_money("p_retailprice"))} as list_price, 'USD' as currency
-from {{part}}
+  {_COMMA_PRICE} as list_price, 'USD' as currency
+from {_with_price("part", "p_retailprice")}
 """
 
 VIEWS["subscriptions_raw"] = f"""
@@ -364,10 +364,10 @@ select concat('I', cast(o_orderkey as string)) as invoice_id,
     then concat('I', cast(o_custkey as string)) else ' ' end as credit_for,
   {_day_text("o_orderdate")} as issue_date,
   cast({_day("o_orderdate")} + 30 as string) as due_date,
-  {_comma_money(_money("o_totalprice"))} as amount,
+  {_COMMA_PRICE} as amount,
   case o_orderkey % 5 when 0 then 'usd' when 1 then 'EUR' when 2 then ' gbp' when 3 then 'INR'
     else 'AUD' end as currency
-from {{orders}}
+from {_with_price("orders", "o_totalprice")}
 union all
 select concat('I', cast(o_orderkey as string), ' '), 'A-late', '', 'invoice', '', '2099-01-01', '', '1', 'USD'
 from {{orders}} where o_orderpriority = '2-HIGH'
@@ -375,10 +375,10 @@ from {{orders}} where o_orderpriority = '2-HIGH'
 
 VIEWS["payments_raw"] = f"""
 select concat('PM', {_LINE_REF}) as payment_id, concat(' I', cast(l_orderkey as string)) as invoice_id,
-  {_day_text("l_shipdate")} as paid_date, {_comma_money(_money("l_extendedprice"))} as amount,
+  {_day_text("l_shipdate")} as paid_date, {_COMMA_PRICE} as amount,
   case l_orderkey % 5 when 0 then 'usd' when 1 then 'EUR' when 2 then ' gbp' when 3 then 'INR'
     else 'AUD' end as currency
-from {{lineitem}}
+from {_with_price("lineitem", "l_extendedprice")}
 """
 
 # Shipping
@@ -392,12 +392,12 @@ select concat('F', {_LINE_REF}) as feed_row_id, concat('SH', {_LINE_REF}) as shi
   case when l_returnflag = 'N' then ''
     else cast({_day("l_shipdate")} + cast(cast(l_quantity as int) % 7 as int) as string) end
     as delivered_at,
-  case l_linenumber % 3 when 0 then cast({_money("l_extendedprice")} as string)
-    when 1 then concat({_comma_money(_money("l_extendedprice"))}, ' kg')
+  case l_linenumber % 3 when 0 then price
+    when 1 then concat({_COMMA_PRICE}, ' kg')
     else concat(cast(cast(l_quantity as int) * 950 as string), ' g') end as weight,
-  case l_linenumber % 3 when 0 then cast({_money("l_extendedprice")} as string)
-    else concat('$', {_comma_money(_money("l_extendedprice"))}) end as freight_charge
-from {{lineitem}}
+  case l_linenumber % 3 when 0 then price
+    else concat('$', {_COMMA_PRICE}) end as freight_charge
+from {_with_price("lineitem", "l_extendedprice")}
 """
 
 # Countries

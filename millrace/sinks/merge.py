@@ -64,19 +64,25 @@ def merge_into(
 
     Partitioned by columns that are part of the key, only partitions named in the source are read
     and rewritten. Otherwise the new table is written beside the old one and takes its name.
+    The source is computed once, into `<table>__batch`, and read from there by every step.
     """
+    if not set(partition_by) <= set(keys):
+        raise ValueError("the partition columns must be part of the merge key")
     _recover(spark, table)
-    target = spark.table(table)
-    if partition_by:
-        if not set(partition_by) <= set(keys):
-            raise ValueError("the partition columns must be part of the merge key")
-        target = _touched(target, source, partition_by)
-    _refuse_ambiguous(target, source, keys)
-    result = merged(target, source, keys, matched, inserted)
-    if partition_by:
-        _replace_partitions(spark, result, table, partition_by)
-    else:
-        _swap_in(spark, result, table)
+    batch = f"{table}__batch"
+    _writer(source, "overwrite", ()).saveAsTable(batch)
+    try:
+        changes, target = spark.table(batch), spark.table(table)
+        if partition_by:
+            target = _touched(target, changes, partition_by)
+        _refuse_ambiguous(target, changes, keys)
+        result = merged(target, changes, keys, matched, inserted)
+        if partition_by:
+            _replace_partitions(spark, result, table, partition_by)
+        else:
+            _swap_in(spark, result, table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {batch}")
 
 
 def merge_upsert(
