@@ -9,12 +9,16 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, where the cluster names one.
+    """The folder every executor can reach: `spark.checkpoint.dir`, which the cluster names.
 
-    Without it (a local session) a fresh local folder is used.
+    Only a local session, where driver and executors are one machine, may go without it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else tempfile.mkdtemp(prefix="millrace-")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="millrace-")
 
 
 def scratch_database(spark: SparkSession) -> str:
