@@ -102,6 +102,7 @@ _PERSON = {
     "churn_reasons": "string",
 }
 
+# Columns, types, keys, accepted values and limits of the published tables.
 _ALL = [
     contract("customers", _PERSON, key=["customer_id"], rows=(1, None)),
     contract(

@@ -266,3 +266,24 @@ def _(v: Inputs) -> DataFrame:
         reconcile.drop_null_amounts(v.transactions), table, reconcile.AMOUNT_RULE
     )
     return v.spark.table(table)
+
+
+@query("recreate_table", views=["transactions", "ledger"], oracle=_RECONCILE)
+def _(v: Inputs) -> DataFrame:
+    """The second write has other columns than the first, which the drop allows."""
+    table = f"{scratch.scratch_database(v.spark)}.reconciliation"
+    tables.recreate(reconciled(v).select("discrepancy", "account_id"), table)
+    tables.recreate(reconciled(v), table)
+    return v.spark.table(table)
+
+
+@query(
+    "temp_view",
+    views=["balance_changes"],
+    oracle="""SELECT customer_id, CAST(sum(change_amount) AS DECIMAL(22,2)) AS change_amount
+    FROM balance_changes GROUP BY customer_id HAVING sum(change_amount) > 1000""",
+)
+def _(v: Inputs) -> DataFrame:
+    net = net_changes(v.balance_changes, ["customer_id"], "change_amount")
+    typed(net, change_amount="decimal(22,2)").createOrReplaceTempView("net_balance_changes")
+    return v.spark.sql("SELECT * FROM net_balance_changes WHERE change_amount > 1000")

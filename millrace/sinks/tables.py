@@ -1,4 +1,7 @@
-"""Table writes with the guarantees a job relies on."""
+"""Table writes with the guarantees a job relies on.
+
+Tables take the session's default format (`spark.sql.sources.default`).
+"""
 
 from __future__ import annotations
 
@@ -26,7 +29,7 @@ def _writer(df: DataFrame, mode: str, partition_by: Sequence[str]):
     # One task per partition value would follow the data's skew: let Spark balance the files.
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode(mode).format("parquet")
+    writer = df.write.mode(mode)
     return writer.partitionBy(*partition_by) if partition_by else writer
 
 
