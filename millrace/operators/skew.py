@@ -68,6 +68,7 @@ def enrich_hot(
     keys: Sequence[str],
     how: str = "left",
     counted: DataFrame | None = None,
+    spread_by: Sequence[str] = (),
     max_rows: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Left or inner join to a dimension with unique keys that also holds for keys with most rows.
@@ -76,7 +77,8 @@ def enrich_hot(
     in the same plan is not. So the dimension rows of hot keys are broadcast: as keys are unique,
     there are at most (fact rows / `max_rows`) of them. Facts of hot and of null keys are spread over
     the tasks of the ordinary join, in which they meet no row. `counted` may be a cheaper table with
-    at least the facts' rows per key.
+    at least the facts' rows per key; `spread_by` names fact columns that tell rows of one key
+    apart (all columns otherwise, which a later projection then cannot drop).
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
@@ -96,10 +98,12 @@ def enrich_hot(
     apart = F.col("__hot").isNotNull()
     for key in keys:
         apart = apart | F.col(key).isNull()
-    part = F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD)).cast("int") + 1
+    part = F.pmod(F.xxhash64(*(spread_by or facts.columns)), F.lit(SPREAD)).cast("int") + 1
     marked = marked.withColumn("__spread", F.when(apart, part).otherwise(0))
     # Always 0, but not a literal: a literal would stop being a join key and leave the facts skewed.
-    ordinary = dimension.withColumn("__spread", F.pmod(F.hash(*keys), F.lit(1)))
+    # Never null, so that both reads of the dimension share one plan and its shuffle.
+    zero = F.coalesce(F.pmod(F.hash(*keys), F.lit(1)), F.lit(0))
+    ordinary = dimension.withColumn("__spread", zero)
 
     joined = marked.join(ordinary, [*keys, "__spread"], "left")
     if how == "inner":

@@ -122,8 +122,13 @@ def subscriptions_silver(subscriptions: DataFrame, plans: DataFrame, accounts: D
     trimmed = subscriptions.select(
         F.trim("plan_id").alias("plan_id"), F.trim("account_id").alias("account_id")
     )
-    with_plan = enrich_hot(typed, clean_plans(plans), ["plan_id"], counted=trimmed)
-    with_holder = enrich_hot(with_plan, holders, ["account_id"], counted=trimmed)
+    spread_by = ["subscription_id"]
+    with_plan = enrich_hot(
+        typed, clean_plans(plans), ["plan_id"], counted=trimmed, spread_by=spread_by
+    )
+    with_holder = enrich_hot(
+        with_plan, holders, ["account_id"], counted=trimmed, spread_by=spread_by
+    )
     return with_holder.withColumn("mrr_usd", mrr).select(*SUBSCRIPTION_COLUMNS)
 
 
@@ -183,7 +188,9 @@ def invoices_silver(invoices: DataFrame, payments: DataFrame, accounts: DataFram
     )
     settled = enrich(typed, paid_per_invoice(payments), ["invoice_id"]).withColumn("paid_usd", paid)
     trimmed = invoices.select(F.trim("account_id").alias("account_id"))
-    with_holder = enrich_hot(settled, holders, ["account_id"], counted=trimmed)
+    with_holder = enrich_hot(
+        settled, holders, ["account_id"], counted=trimmed, spread_by=["invoice_id"]
+    )
     return with_holder.withColumn("status", status).select(*INVOICE_COLUMNS)
 
 

@@ -35,7 +35,7 @@ def order_discount(orders: DataFrame) -> DataFrame:
 def enriched_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders with their customer's latest record, one row per order."""
     latest = latest_per_key(customers, ["customer_id"], "_ingest_seq").drop("_ingest_seq")
-    return enrich_hot(orders, latest, ["customer_id"], "inner")
+    return enrich_hot(orders, latest, ["customer_id"], "inner", spread_by=["order_id"])
 
 
 def silver_customers(customers: DataFrame) -> DataFrame:
@@ -46,4 +46,4 @@ def silver_customers(customers: DataFrame) -> DataFrame:
 
 def global_reporting(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders of known customers. `customers` holds one row per customer."""
-    return enrich_hot(orders, customers, ["customer_id"], "inner")
+    return enrich_hot(orders, customers, ["customer_id"], "inner", spread_by=["order_id"])

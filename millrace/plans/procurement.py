@@ -114,7 +114,8 @@ def purchase_orders(raw: DataFrame, suppliers: DataFrame) -> DataFrame:
         "supplier_id", "supplier_name", F.col("country").alias("supplier_country")
     )
     trimmed = raw.select(F.trim("supplier_id").alias("supplier_id"))
-    return enrich_hot(typed, named, ["supplier_id"], counted=trimmed).select(*PO_COLUMNS)
+    joined = enrich_hot(typed, named, ["supplier_id"], counted=trimmed, spread_by=["po_id"])
+    return joined.select(*PO_COLUMNS)
 
 
 def spend_by_country(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
