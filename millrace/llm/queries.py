@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, token_counts, token_files
+from millrace.llm import exact, packing, quality, token_counts, token_files, workers
 
 
 def vocabulary(name: str) -> str:
@@ -17,9 +17,15 @@ def vocabulary(name: str) -> str:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    workers.reach(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality.quality_scores(documents(spark, folder), labels, threshold=0.7)
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder), vocabulary("piece_bpe_32k.model"), limit=4096)
 
@@ -32,10 +38,16 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {}
