@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact, packing, quality, token_counts, token_files, workers
+from millrace.llm import exact, jaccard, leaks, packing, quality, token_counts, token_files, workers
 
 
 def vocabulary(name: str) -> str:
@@ -42,11 +42,22 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, folder))
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, folder), percent=90, words=3)
+
+
+def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return leaks.find_leaks(documents(spark, folder), benchmark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op10_leaks": op10_leaks,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
