@@ -87,9 +87,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Polynomial sums before each position, for `span_hash`."""
-    powers, _ = _tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * powers[: len(data)], out=sums[1:])
+    return prefix_sums(_VALUES[data])
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """The same for any sequence of 64-bit values."""
+    powers, _ = _tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[: len(values)], out=sums[1:])
     return sums
 
 

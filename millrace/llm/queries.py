@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact, jaccard, leaks, packing, quality, token_counts, token_files, workers
+from millrace.llm import (
+    exact,
+    jaccard,
+    leaks,
+    packing,
+    quality,
+    substring,
+    suffixes,
+    token_counts,
+    token_files,
+    workers,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -38,6 +49,14 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeated_words(documents(spark, folder), window=20)
+
+
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(documents(spark, folder), length=50)
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, folder))
 
@@ -56,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_leaks": op10_leaks,
     "op8_exact_dedup": op8_exact_dedup,
