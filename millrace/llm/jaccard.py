@@ -1,9 +1,10 @@
 """Documents linked by the Jaccard similarity of their word shingles, exactly, as connected components.
 
 1. Texts with equal shingle sets are one class, whose smallest doc_id stands for it.
-2. Candidates: the shingles of a text are dealt into more parts than linked sets can differ in, so linked
-   texts have an equal part. Texts with an equal part join one cluster. Only hashes of parts are
-   shuffled; a part has about nine shingles, so passages that many documents share do not join them.
+2. Every shingle's documents are counted, over all texts. A text's shingles are put in order of that count,
+   rarest first. Linked texts share one of the first few: more are missing than a link allows otherwise.
+   Texts that share one of those join one cluster; passages that many documents share come last in the
+   order and do not join them.
 3. T-occurrence search within each cluster: inverted lists over the members' whole sets. A query's short
    lists are merged; its longest ones are set aside and probed by binary search (DivideSkip). Members
    reaching the required overlap are linked. A cluster of more members than a task should hold
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks
 from millrace.llm.components import connected_components
+from millrace.llm.repeats import grouped
 from millrace.sinks.scratch import scratch_path
 
 #: Members of a cluster that one task takes as one lot.
 LOT = 1_000
-#: Signatures gathered in a task before they are dealt out.
-FLUSH = 1_000_000
+#: Shingles gathered in a task before they are dealt out.
+FLUSH = 2_000_000
 #: Entries of short lists up to which they are merged by a heap; longer ones are counted in one pass.
 HEAP_ENTRIES = 512
 
@@ -63,45 +65,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 3) -> tuple
     return grams, np.searchsorted(owner, np.arange(texts + 1))
 
 
-def size_level(sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Geometric size classes: sizes that can be linked lie in the same or in adjacent classes."""
-    return np.floor(np.log(np.maximum(sizes, 1)) / -np.log(percent / 100) + 1e-9).astype(np.int64)
-
-
-def parts_at(level: np.ndarray, percent: int) -> np.ndarray:
-    """One more than the largest symmetric difference of linked sets up to this level.
-
-    From 100 * intersection >= percent * union: difference <= (100 - percent) / (100 + percent) * (sum of sizes).
-    """
-    largest = np.ceil((100 / percent) ** (level + 1) + 1e-6)
-    return np.floor(2 * largest * (100 - percent) / (100 + percent) + 1e-9).astype(np.int64) + 1
-
-
-def signatures(grams: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) such that any two linked texts share one.
-
-    Shingles are dealt by hash into more parts than linked sets can differ in, so at least one part is the
-    same in both. A text gives its parts at its own size level and at the next one.
-    """
-    sizes = np.diff(bounds)
-    filled = np.flatnonzero(sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    spread = blocks.mix(grams + np.uint64(0x1234567))
-    texts, marks = [], []
-    level = size_level(sizes, percent)
-    for step in (0, 1):
-        parts = np.where(sizes > 0, parts_at(level + step, percent), 0)
-        first = np.concatenate([[0], np.cumsum(parts)])
-        sums = np.zeros(first[-1], np.uint64)
-        np.add.at(sums, first[owner] + (spread % parts[owner].astype(np.uint64)).astype(np.int64), blocks.mix(grams))
-        text = np.repeat(filled, parts[filled])
-        part = np.arange(first[-1]) - first[text]
-        tag = blocks.mix(((level + step)[text] << 32 | part).astype(np.uint64))
-        texts.append(text)
-        marks.append(blocks.mix(sums + tag))
-    return np.concatenate(texts), np.concatenate(marks)
-
-
 def _describe(words: int):
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,42 +82,112 @@ def _describe(words: int):
     return describe
 
 
-def _deal_signatures(words: int, percent: int, buckets: int):
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
+def _residual(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's bucket, and 32 further bits of it.
+
+    Shingles that agree in both are counted as one. That makes a few look less rare than they are, for all
+    documents alike, so the common order stays one and no link is lost.
+    """
+    return (grams % np.uint64(buckets)).astype(np.int64), (grams // np.uint64(buckets)).astype(np.uint32)
+
+
+def _send_shingles(words: int, buckets: int):
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            mark, doc = np.concatenate(marks), np.concatenate(ids)
-            marks.clear(), ids.clear()
-            bucket = (mark % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((mark, bucket))
-            mark, doc, bucket = mark[order], doc[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            parts = [(b, mark[x:y].tobytes(), doc[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+            bucket, residual = _residual(np.concatenate(held), buckets)
+            part = np.concatenate(parts)
+            held.clear(), parts.clear()
+            order = np.argsort(bucket * (int(part.max()) + 1) + part, kind="stable")
+            bucket, part, residual = bucket[order], part[order], residual[order]
+            cut = np.concatenate([[0], np.flatnonzero((part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])) + 1, [len(part)]])
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             return pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))],
-                ["bucket", "marks", "docs"],
+                [pa.array(bucket[cut[:-1]], pa.int32()), pa.array(part[cut[:-1]], pa.int32()), pa.array([residual[x:y].tobytes() for x, y in spans], pa.binary())],
+                ["bucket", "part", "shingles"],
             )
 
         for batch in batches:
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            part = batch.column(2).to_numpy()
             for lo, hi, data, offsets in blocks.blocks(batch.column(1)):
-                text, mark = signatures(*shingle_sets(data, offsets, words), percent)
-                keep = known[lo:hi][text]
-                marks.append(mark[keep])
-                ids.append(keys[lo:hi][text[keep]])
-                if sum(map(len, marks)) >= FLUSH:
+                grams, bounds = shingle_sets(data, offsets, words)
+                held.append(grams)
+                parts.append(np.repeat(part[lo:hi], np.diff(bounds)))
+                if sum(map(len, held)) >= FLUSH:
                     yield flush()
-        if sum(map(len, marks)):
+        if sum(map(len, held)):
             yield flush()
 
+    return send
+
+
+def _count_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket: to each part, its shingles that more than one text has, with the logarithm of how many."""
+    for rows in grouped(batches, "bucket"):
+        lists = [np.frombuffer(r["shingles"], np.uint32) for r in rows]
+        every = np.concatenate(lists)
+        owner = np.repeat([r["part"] for r in rows], [len(x) for x in lists])
+        values, which, counts = np.unique(every, return_inverse=True, return_counts=True)
+        rank = np.ceil(np.log2(counts)).astype(np.uint8)
+        shared = np.flatnonzero(counts[which] > 1)
+        key = np.unique(owner[shared] * (1 << 32) + every[shared].astype(np.int64))
+        value = (key & 0xFFFFFFFF).astype(np.uint32)
+        parts, begin = np.unique(key >> 32, return_index=True)
+        ranks = rank[np.searchsorted(values, value)]
+        spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=False))[: len(parts)]
+        if len(parts):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts, pa.int32()), pa.array([rows[0]["bucket"]] * len(parts), pa.int32()),
+                 *(pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for v in (value, ranks))],
+                ["part", "bucket", "shingles", "ranks"],
+            )
+
+
+def _deal_rarest(words: int, percent: int, buckets: int):
+    """Of each text the rarest shingles that suffice, but those it alone has: (bucket, shingles, documents)."""
+
+    def deal(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        schema = pa.schema([("bucket", pa.int32()), ("marks", pa.binary()), ("docs", pa.binary())])
+        known, ranks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        for row in answers.to_pylist():
+            known.append(np.frombuffer(row["shingles"], np.uint32).astype(np.uint64) + (np.uint64(row["bucket"]) << np.uint64(32)))
+            ranks.append(np.frombuffer(row["ranks"], np.uint8))
+        known, ranks = np.concatenate(known), np.concatenate(ranks)
+        order = np.argsort(known)
+        known, ranks = known[order], ranks[order]
+        if not len(known) or not texts.num_rows:
+            return schema.empty_table()
+        valid = texts.column("doc_id").is_valid().to_numpy()
+        ids = texts.column("doc_id").fill_null(0).to_numpy()
+        marks, docs = [], []
+        for lo, hi, data, offsets in blocks.blocks(texts.column("text")):
+            grams, bounds = shingle_sets(data, offsets, words)
+            bucket, residual = _residual(grams, buckets)
+            key = residual.astype(np.uint64) + (bucket.astype(np.uint64) << np.uint64(32))
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            rank = np.where(known[at] == key, ranks[at], 0)
+            sizes = np.diff(bounds)
+            owner = np.repeat(np.arange(hi - lo), sizes)
+            order = np.lexsort((grams, rank, owner))
+            first = sizes - -(-percent * sizes // 100) + 1
+            place = np.arange(len(grams)) - bounds[owner]
+            use = order[(place < first[owner]) & (rank[order] > 0) & valid[lo:hi][owner]]
+            marks.append(grams[use])
+            docs.append(ids[lo:hi][owner[use]])
+        mark, doc = np.concatenate(marks), np.concatenate(docs)
+        bucket = (mark % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [(b, mark[order[x:y]].tobytes(), doc[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False)) if y > x]
+        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
     return deal
 
 
 def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: for each signature, its smallest document with every other one."""
+    """Rows sorted by bucket: for each shingle, its smallest document with every other one."""
 
     def edges(marks: list[bytes], docs: list[bytes]) -> pa.RecordBatch:
         mark = np.concatenate([np.frombuffer(m, np.uint64) for m in marks])
@@ -331,9 +364,15 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, lot:
     full.withColumn("lot", F.xxhash64("set_1", "set_2")).join(classes, same).select("doc_id", "class").distinct().write.parquet(placed)
     members = spark.read.parquet(placed)
 
-    buckets = max(shuffles, 2 * wanted.rdd.getNumPartitions())
-    dealt = wanted.mapInArrow(_deal_signatures(words, percent, buckets), "bucket int, marks binary, docs binary")
-    edges = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long").distinct()
+    parts = buckets = max(shuffles, 2 * wanted.rdd.getNumPartitions())
+    texts = wanted.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    sent = texts.mapInArrow(_send_shingles(words, buckets), "bucket int, part int, shingles binary")
+    counted = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = counted.mapInArrow(_count_shingles, "part int, bucket int, shingles binary, ranks binary").repartition(parts, "part")
+    rarest = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+        _deal_rarest(words, percent, buckets), "bucket int, marks binary, docs binary"
+    )
+    edges = rarest.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long").distinct()
     # Copies add nothing to a cluster: edges between the classes that the documents belong to.
     of = members.select(F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
     to = members.select(F.col("doc_id").alias("b"), F.col("class").alias("class_b"))
@@ -343,10 +382,10 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, lot:
     _cells(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), lot).write.parquet(cells_place)
     cells = spark.read.parquet(cells_place)
 
-    texts = wanted.join(cells, "doc_id").select("cluster", "cell", "doc_id", "text")
-    texts = texts.repartition(shuffles, "cluster", "cell").sortWithinPartitions("cluster", "cell", "doc_id")
+    chosen = wanted.join(cells, "doc_id").select("cluster", "cell", "doc_id", "text")
+    chosen = chosen.repartition(shuffles, "cluster", "cell").sortWithinPartitions("cluster", "cell", "doc_id")
     links_place = scratch_path(spark, "links")
-    texts.mapInArrow(_search(words, percent), "cluster long, a long, b long").write.parquet(links_place)
+    chosen.mapInArrow(_search(words, percent), "cluster long, a long, b long").write.parquet(links_place)
     links = spark.read.parquet(links_place)
     # Documents that share a class or are linked; several texts of one doc_id may bridge classes.
     bridges = members.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"))

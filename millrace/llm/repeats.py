@@ -178,7 +178,7 @@ def _send_anchors(rules: Rules, buckets: int):
     return send
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Rows of each key; they come sorted by it."""
     current, rows = None, []
     for batch in batches:
@@ -194,7 +194,7 @@ def _grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: to each part its anchors that are not unique."""
-    for rows in _grouped(batches, "bucket"):
+    for rows in grouped(batches, "bucket"):
         lists = [np.frombuffer(r["anchors"], np.uint64) for r in rows]
         every = np.concatenate(lists)
         owner = np.repeat([r["part"] for r in rows], [len(x) for x in lists])
@@ -263,7 +263,7 @@ ANSWERS = "part int, content binary, first binary, last binary, doc binary, plac
 
 def _search_shard(rules: Rules):
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, "shard"):
+        for rows in grouped(batches, "shard"):
             content, doc, place = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("content", np.uint64), ("doc", np.int64), ("place", np.int64)))
             windows = np.concatenate([np.frombuffer(r["windows"], np.int32) for r in rows]).astype(np.int64)
             more = np.concatenate([np.frombuffer(r["more"], np.uint8) for r in rows]).astype(bool)
