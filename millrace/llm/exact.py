@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import blocks
+from millrace.llm.rows import fresh
 from millrace.sinks.scratch import scratch_path
 
 #: A chunk ends where the low bits of the rolling hash are zero: 1 KiB on average, 64 KiB at most.
@@ -168,9 +169,9 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and normalised text, so of rows that agree in both one stays.
     """
-    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    key, sha, own = (fresh(docs.columns, name) for name in ("kept_id", "kept_sha", "own_sha"))
+    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    marked = docs.withColumn("__own", F.sha2(F.encode(text, "UTF-8"), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    found = marked.join(stay, same, "left_semi")
-    return found.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    marked = docs.withColumn(own, F.sha2(F.encode(text, "UTF-8"), 256))
+    same = marked["doc_id"].cast("long").eqNullSafe(stay[key]) & (marked[own] == stay[sha])
+    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)

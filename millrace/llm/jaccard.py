@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import blocks
 from millrace.llm.components import connected_components
 from millrace.llm.repeats import grouped
+from millrace.llm.rows import drop_rows
 from millrace.sinks.scratch import scratch_path
 
 #: Members of a cluster that one task takes as one lot.
@@ -401,6 +402,4 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, lot:
 
 def keep_one_per_component(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its component, with all their columns."""
-    found = jaccard_components(docs, percent, words)
-    drop = found.where("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    return drop_rows(docs, jaccard_components(docs, percent, words).where("component_id < doc_id"))

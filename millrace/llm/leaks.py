@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks
 from millrace.llm.exact import normalise
+from millrace.llm.rows import drop_rows
 
 Q = 9
 PROBE = 80
@@ -236,5 +237,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without a benchmark passage, with all their columns; rows without doc_id stay."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaked, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    return drop_rows(docs, find_leaks(docs, benchmark))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import blocks
+from millrace.llm.rows import drop_rows
 from millrace.sinks.scratch import scratch_path
 
 STATISTICS = (
@@ -290,5 +291,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs` that the classifier does not reject; rows without doc_id stay."""
-    rejected = quality_scores(docs, labels, threshold).where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    return drop_rows(docs, quality_scores(docs, labels, threshold).where("predicted = 0"))
