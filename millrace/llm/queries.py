@@ -10,6 +10,7 @@ from millrace.llm import (
     exact,
     jaccard,
     leaks,
+    licences,
     packing,
     quality,
     substring,
@@ -61,6 +62,10 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, folder))
 
 
+def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.find_licences(documents(spark, folder))
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, folder), percent=90, words=3)
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_licences": op6_licences,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_leaks": op10_leaks,
