@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.skew import (
-    MAX_ROWS_PER_TASK,
-    RANK,
-    rank_in_buckets,
-    rank_rows,
-    split_hot,
-)
+from millrace.operators.skew import RANK, rank_rows
 
 
 def event_journeys(
@@ -19,24 +13,18 @@ def event_journeys(
     key: str,
     sequence: str,
     payload: str,
-    bucket: Column,
     max_events: int = 10_000,
     tie_break: str | None = None,
-    max_rows_per_task: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Every key's events in `sequence` order, as parts of at most `max_events` events.
 
     A placeholder key can hold most of the rows, so one list per key would have to fit one task and
     one row. Events are numbered within their key and cut into parts; a key's parts read in
-    `part_no` order are its whole journey, nothing dropped. Keys above `max_rows_per_task` events
-    are numbered by `bucket`, which must not decrease along `sequence` (an hour, a number range).
+    `part_no` order are its whole journey, nothing dropped. Events of one place in the sequence are
+    ordered by `tie_break`, then by payload.
     """
-    wanted = dict.fromkeys([key, sequence, *([tie_break] if tie_break else []), payload])
-    order = [F.col(c).asc_nulls_first() for c in wanted if c != key]
-    cold, hot = split_hot(events.select(*wanted, bucket.alias("__when")), key, max_rows_per_task)
-    numbered = rank_rows(cold, key, order).unionByName(
-        rank_in_buckets(hot, key, order, F.col("__when"))
-    )
+    order = list(dict.fromkeys([sequence, *([tie_break] if tie_break else []), payload]))
+    numbered = rank_rows(events.select(key, *order), key, order)
     parts = (
         numbered.withColumn("part_no", F.floor((F.col(RANK) - 1) / max_events))
         .groupBy(key, "part_no")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.skew import MAX_ROWS_PER_TASK, RANK, rank_in_buckets, split_hot
+from millrace.operators.skew import RANK, rank_rows
+
+BLOCK_ROWS = 1_000_000
 
 
 def _with_metrics(df: DataFrame, revenue: Column, orders: Column) -> DataFrame:
@@ -24,41 +26,26 @@ def rolling_rows(
     amount: str,
     rows: int = 7,
     tie_break: Sequence[str] = (),
-    max_rows_per_task: int = MAX_ROWS_PER_TASK,
-    bucket: Column | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Metrics over the current row and the `rows - 1` before it, per `key` in `day` order.
 
     `tie_break` orders the rows of one day; all other columns follow, so a rerun gives the same
-    frames. Keys above `max_rows_per_task` rows are numbered by `bucket` (the date; it must not
-    decrease along the order) and then framed in blocks, each block starting with copies of the
-    `rows - 1` rows before it.
+    frames. Rows are numbered within their key and framed in blocks of `block_rows` numbers, each
+    block starting with copies of the `rows - 1` rows before it; its size does not change a frame.
     """
-    if not 1 < rows <= max_rows_per_task:
-        raise ValueError("rows must be at least 2 and at most max_rows_per_task")
-    columns = df.columns
-    named = [day, *tie_break]
-    order = [
-        F.col(c).asc_nulls_first() for c in named + [c for c in columns if c not in [key, *named]]
-    ]
-    cold, hot = split_hot(df, key, max_rows_per_task)
-
-    frame = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    plain = _with_metrics(cold, F.sum(amount).over(frame), F.count(amount).over(frame))
-
+    if not 1 < rows <= block_rows:
+        raise ValueError("rows must be at least 2 and at most block_rows")
+    numbered = rank_rows(df, key, [day, *tie_break])
     place = F.col(RANK) - 1
-    block = F.floor(place / max_rows_per_task)
-    feeds_next = place % max_rows_per_task > max_rows_per_task - rows
+    feeds_next = place % block_rows > block_rows - rows
     copies = F.when(feeds_next, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    blocks = (
-        rank_in_buckets(hot, key, order, F.col(day).cast("date") if bucket is None else bucket)
-        .withColumn("__copy", F.explode(copies))
-        .withColumn("__block", block + F.col("__copy").cast("int"))
+    blocks = numbered.withColumn("__copy", F.explode(copies)).withColumn(
+        "__block", F.floor(place / block_rows) + F.col("__copy").cast("int")
     )
-    in_block = Window.partitionBy(key, "__block").orderBy(RANK).rowsBetween(-(rows - 1), 0)
-    split = _with_metrics(blocks, F.sum(amount).over(in_block), F.count(amount).over(in_block))
-    split = split.where(~F.col("__copy"))
-    return plain.unionByName(split.select(*plain.columns))
+    frame = Window.partitionBy(key, "__block").orderBy(RANK).rowsBetween(-(rows - 1), 0)
+    framed = _with_metrics(blocks, F.sum(amount).over(frame), F.count(amount).over(frame))
+    return framed.where(~F.col("__copy")).drop("__copy", "__block", RANK)
 
 
 def rolling_days(df: DataFrame, key: str, day: str, amount: str, days: int = 7) -> DataFrame:

@@ -4,61 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROWS_PER_TASK = 5_000_000
+from millrace.sinks.scratch import scratch_path
+
 RANK = "__rank"
+BLOCK = "__block"
 
 
-def split_hot(
-    df: DataFrame, key: str, max_rows: int = MAX_ROWS_PER_TASK
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys, and rows of keys with more than `max_rows` rows.
+def rank_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Row number of every row within its key, as column `__rank`, in order of `order`, nulls first.
 
-    The list of hot keys is broadcast: it has at most (rows of the table / `max_rows`) entries.
+    One path for every key, busy or not: rows are range-partitioned by the key, the order columns and then
+    all others, so that a key's rows lie in consecutive partitions however many it has. A row's number
+    is its place in its partition plus the key's rows in earlier ones, which come from a count per
+    key and partition. The partitioned rows are saved in the shared folder with the number of their
+    partition, so the count and the numbering see the same partitions. Order columns must be sortable;
+    of the others, those that are not (maps) are left out of the tie-break.
     """
-    counts = df.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__rows"))
-    hot = F.broadcast(counts.where(F.col("__rows") > max_rows).select("__hot"))
-    is_hot = F.col(key).eqNullSafe(F.col("__hot"))
-    return df.join(hot, is_hot, "left_anti"), df.join(hot, is_hot, "left_semi")
-
+    spark = df.sparkSession
+    kinds = dict(df.dtypes)
+    rest = [c for c in df.columns if c != key and c not in order and "map<" not in kinds[c]]
+    sorting = [F.col(c).asc_nulls_first() for c in [*order, *rest]]
+    place = scratch_path(spark, "ordered")
+    ranged = df.repartitionByRange(F.col(key).asc_nulls_first(), *sorting)
+    ranged.withColumn(BLOCK, F.spark_partition_id()).write.parquet(place)
+    blocks = spark.read.schema(ranged.withColumn(BLOCK, F.lit(0)).schema).parquet(place)
 
-def rank_in_buckets(
-    df: DataFrame, key: str, order: Sequence[Column], bucket: Column
-) -> DataFrame:
-    """Row number of every row within its key, as column `__rank`, one task per (key, bucket).
-
-    `bucket` must not decrease along `order`. A row's number is its place in its bucket plus the
-    rows of the key's earlier buckets, which come from a count per bucket.
-    """
-    bucketed = df.withColumn("__bucket", bucket)
     earlier = (
-        Window.partitionBy("__k")
-        .orderBy(F.col("__b").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
-    sizes = bucketed.groupBy(F.col(key).alias("__k"), F.col("__bucket").alias("__b")).agg(
-        F.count("*").alias("__size")
-    )
-    offsets = sizes.select(
-        "__k", "__b", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before")
-    )
-    same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__bucket").eqNullSafe(F.col("__b"))
-    within = Window.partitionBy(key, "__bucket").orderBy(*order)
+    sizes = blocks.groupBy(key, BLOCK).agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0))
+    offsets = sizes.select(F.col(key).alias("__k"), F.col(BLOCK).alias("__b"), before.alias("__before"))
+    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col(BLOCK) == F.col("__b"))
+    within = Window.partitionBy(key, BLOCK).orderBy(*sorting)
     return (
-        bucketed.join(offsets, same)
+        blocks.join(offsets, same)
         .withColumn(RANK, F.col("__before") + F.row_number().over(within))
-        .drop("__bucket", "__k", "__b", "__before")
+        .drop(BLOCK, "__k", "__b", "__before")
     )
 
 
-def rank_rows(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Row number of every row within its key, as column `__rank`, one task per key."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn(RANK, number.cast("bigint"))
-
-
+HOT_ROWS = 5_000_000
 SPREAD = 4096
 
 
@@ -69,7 +58,7 @@ def enrich_hot(
     how: str = "left",
     counted: DataFrame | None = None,
     spread_by: Sequence[str] = (),
-    max_rows: int = MAX_ROWS_PER_TASK,
+    max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left or inner join to a dimension with unique keys that also holds for keys with most rows.
 

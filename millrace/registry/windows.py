@@ -101,7 +101,6 @@ def _(v: Inputs) -> DataFrame:
         "customer_id",
         "event_seq",
         "payload",
-        F.floor(F.col("event_seq") / 100_000),
         max_events=1000,
     )
     return parts.withColumn("events", F.array_join("events", "|"))

@@ -138,22 +138,51 @@ def brute_rolling_rows(rows, width):
     return expected
 
 
-@pytest.mark.parametrize("limit", [7, 20, 1000])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_rolling_rows_do_not_depend_on_how_busy_keys_are_split(spark, limit, seed):
-    rows = sales_rows(seed, 400)
-    df = spark.createDataFrame(rows, SALES).repartition(5)
-    out = rolling.rolling_rows(df, "store_id", "day", "revenue", 7, ["id"], limit)
-    assert out.columns[:4] == df.columns
-    got = {r["id"]: (r["rolling_revenue"], r["rolling_order_count"]) for r in out.collect()}
-    assert out.count() == len(rows)
+@pytest.mark.parametrize("partitions", [1, 3, 17])
+@pytest.mark.parametrize("block", [7, 20, 1000])
+def test_rolling_rows_do_not_depend_on_partitions_or_blocks(spark, partitions, block):
+    rows = sales_rows(partitions, 400)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, SALES).repartition(5)
+        out = rolling.rolling_rows(df, "store_id", "day", "revenue", 7, ["id"], block)
+        assert out.columns[:4] == df.columns
+        found = out.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(found) == len(rows)
+    got = {r["id"]: (r["rolling_revenue"], r["rolling_order_count"]) for r in found}
     assert got == brute_rolling_rows(rows, 7)
 
 
+@pytest.mark.parametrize("days", [[f"2024-01-{d}" for d in range(1, 13)], [None], ["2024-01-1"]])
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_rolling_rows_order_text_days_null_days_and_one_busy_day(spark, days, partitions):
+    """Text days are ordered as text, whatever date they would be."""
+    rng = random.Random(len(days))
+    rows = [("S", rng.choice(days), i, i % 7) for i in range(200)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, "store string, day string, id int, amount int").repartition(3)
+        out = rolling.rolling_rows(df, "store", "day", "amount", 5, ["id"], 16).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    ordered = sorted(rows, key=lambda r: (r[1] or "", r[2]))
+    expected = {r[2]: sum(x[3] for x in ordered[max(0, i - 4) : i + 1]) for i, r in enumerate(ordered)}
+    assert {r["id"]: r["rolling_revenue"] for r in out} == expected
+
+
+def test_ordering_scans_the_facts_twice_at_most(spark):
+    df = spark.createDataFrame(sales_rows(2, 50), SALES)
+    out = rolling.rolling_rows(df, "store_id", "day", "revenue", 7, ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") + plan.count("Scan ExistingRDD") <= 2
+
+
 def test_rolling_rows_refuse_a_frame_longer_than_a_block(spark):
     df = spark.createDataFrame(sales_rows(1, 5), SALES)
     with pytest.raises(ValueError):
-        rolling.rolling_rows(df, "store_id", "day", "revenue", 7, max_rows_per_task=6)
+        rolling.rolling_rows(df, "store_id", "day", "revenue", 7, block_rows=6)
 
 
 def test_rolling_days_cover_calendar_days(spark):
@@ -171,18 +200,20 @@ def test_rolling_days_cover_calendar_days(spark):
         assert got[store, day] == (sum(inside) if inside else None, len(inside))
 
 
-@pytest.mark.parametrize("limit", [10, 60, 10_000])
-def test_journeys_keep_every_event_in_order(spark, limit):
-    rng = random.Random(limit)
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_journeys_keep_every_event_in_order(spark, partitions):
+    rng = random.Random(partitions)
     rows = [
         ("UNKNOWN" if rng.random() < 0.6 else f"C{rng.randint(1, 9)}", rng.randint(0, 99), f"p{i:04d}")
         for i in range(500)
     ]
-    df = spark.createDataFrame(rows, "c string, seq int, payload string").repartition(4)
-    out = journeys.event_journeys(
-        df, "c", "seq", "payload", F.floor(F.col("seq") / 10), 25, None, limit
-    )
-    parts = sorted(out.collect(), key=lambda r: (r["c"], r["part_no"]))
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, "c string, seq int, payload string").repartition(4)
+        found = journeys.event_journeys(df, "c", "seq", "payload", 25).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    parts = sorted(found, key=lambda r: (r["c"], r["part_no"]))
     assert all(len(p["events"]) == p["event_count"] <= 25 for p in parts)
     full = defaultdict(list)
     for part in parts:
@@ -192,10 +223,3 @@ def test_journeys_keep_every_event_in_order(spark, limit):
     for c, _, payload in sorted(rows, key=lambda r: (r[1], r[2])):
         expected[c].append(payload)
     assert full == expected
-
-
-def test_hot_keys_are_found_by_their_row_count(spark, rows_of):
-    df = spark.createDataFrame([("a",), ("a",), ("a",), ("b",), (None,), (None,), (None,)], "k string")
-    cold, hot = skew.split_hot(df, "k", 2)
-    assert rows_of(cold) == [("b",)]
-    assert rows_of(hot) == [("a",), ("a",), ("a",), (None,), (None,), (None,)]
