@@ -47,8 +47,10 @@ def rank_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     )
 
 
+#: A key with more fact rows than this is spread over the tasks; at most `HOT_KEYS` keys are, the busiest.
 HOT_ROWS = 5_000_000
-SPREAD = 4096
+HOT_KEYS = 100_000
+SPREAD = 256
 
 
 def enrich_hot(
@@ -59,44 +61,37 @@ def enrich_hot(
     counted: DataFrame | None = None,
     spread_by: Sequence[str] = (),
     max_rows: int = HOT_ROWS,
+    max_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Left or inner join to a dimension with unique keys that also holds for keys with most rows.
 
     Spark splits a skewed join only where both sides are shuffled for it, which a dimension cleaned
-    in the same plan is not. So the dimension rows of hot keys are broadcast: as keys are unique,
-    there are at most (fact rows / `max_rows`) of them. Facts of hot and of null keys are spread over
-    the tasks of the ordinary join, in which they meet no row. `counted` may be a cheaper table with
-    at least the facts' rows per key; `spread_by` names fact columns that tell rows of one key
-    apart (all columns otherwise, which a later projection then cannot drop).
+    in the same plan is not. So facts of hot and of null keys are spread over `SPREAD` lots by a hash,
+    and the dimension rows of hot keys are repeated for every lot. Only the list of hot keys is
+    broadcast, of at most `max_keys` keys and no other column; a key beyond it is joined as any other,
+    which gives the same rows. `counted` may be a cheaper table with at least the facts' rows
+    per key; `spread_by` names fact columns that tell rows of one key apart (all columns
+    otherwise, which a later projection then cannot drop).
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
     keys = list(keys)
     values = [c for c in dimension.columns if c not in keys]
-    hot_names = {v: f"__hot_{v}" for v in values}
     rows_of_key = (facts if counted is None else counted).groupBy(*keys).agg(
         F.count("*").alias("__rows")
     )
-    hot_keys = F.broadcast(rows_of_key.where(F.col("__rows") > max_rows).select(*keys))
-    dimension = dimension.withColumn("__found", F.lit(True))
-    hot_rows = dimension.join(hot_keys, keys, "left_semi").withColumnsRenamed(
-        {**hot_names, "__found": "__hot"}
-    )
+    busiest = rows_of_key.where(F.col("__rows") > max_rows).orderBy(F.desc("__rows"), *keys).limit(max_keys)
+    hot_keys = F.broadcast(busiest.select(*keys, F.lit(True).alias("__hot")))
 
-    marked = facts.join(F.broadcast(hot_rows), keys, "left")
+    marked = facts.join(hot_keys, keys, "left")
     apart = F.col("__hot").isNotNull()
     for key in keys:
         apart = apart | F.col(key).isNull()
     part = F.pmod(F.xxhash64(*(spread_by or facts.columns)), F.lit(SPREAD)).cast("int") + 1
-    marked = marked.withColumn("__spread", F.when(apart, part).otherwise(0))
-    # Always 0, but not a literal: a literal would stop being a join key and leave the facts skewed.
-    # Never null, so that both reads of the dimension share one plan and its shuffle.
-    zero = F.coalesce(F.pmod(F.hash(*keys), F.lit(1)), F.lit(0))
-    ordinary = dimension.withColumn("__spread", zero)
-
-    joined = marked.join(ordinary, [*keys, "__spread"], "left")
-    if how == "inner":
-        joined = joined.where(F.coalesce("__hot", "__found"))
-    merged = [F.when(F.col("__hot"), F.col(hot_names[v])).otherwise(F.col(v)).alias(v) for v in values]
+    marked = marked.withColumn("__spread", F.when(apart, part).otherwise(0)).drop("__hot")
+    lots = F.when(F.col("__hot"), F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(F.array(F.lit(0)))
+    repeated = dimension.join(hot_keys, keys, "left").select(*keys, *values, F.explode(lots).alias("__spread"))
+
+    joined = marked.join(repeated, [*keys, "__spread"], how)
     ordered = [*keys, *[c for c in facts.columns if c not in keys]]
-    return joined.select(*ordered, *merged)
+    return joined.select(*ordered, *values)
