@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.sinks.tables import _writer
-
-MAX_PRUNED = 1000
+from millrace.sinks import staged
+from millrace.sinks.tables import SchemaChanged, _writer
 
 
 class AmbiguousMerge(ValueError):
@@ -17,12 +17,44 @@ class AmbiguousMerge(ValueError):
 
 
 def _refuse_ambiguous(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> None:
+    """The batch is looked at first; the target is read only if keys are repeated in it."""
     repeated = source.groupBy(*keys).count().where("count > 1").drop("count")
+    if repeated.isEmpty():
+        return
     sample = [tuple(r) for r in repeated.join(target, list(keys), "left_semi").take(5)]
     if sample:
         raise AmbiguousMerge(f"several source rows match one target row, e.g. {keys} = {sample}")
 
 
+_WIDER = {
+    T.ByteType: (T.ShortType, T.IntegerType, T.LongType),
+    T.ShortType: (T.IntegerType, T.LongType),
+    T.IntegerType: (T.LongType,),
+    T.FloatType: (T.DoubleType,),
+}
+
+
+def _fits(given: T.DataType, kept: T.DataType) -> bool:
+    """Whether every value of the given type is a value of the kept one."""
+    if isinstance(given, T.DecimalType) and isinstance(kept, T.DecimalType):
+        return given.scale <= kept.scale and given.precision - given.scale <= kept.precision - kept.scale
+    return given.simpleString() == kept.simpleString() or isinstance(kept, _WIDER.get(type(given), ()))
+
+
+def _require_same_columns(table: str, target: DataFrame, source: DataFrame) -> None:
+    kept = {f.name: f.dataType for f in target.schema.fields}
+    given = {f.name: f.dataType for f in source.schema.fields}
+    wrong = [f"{n} is not in the table" for n in given.keys() - kept.keys()]
+    wrong += [f"{n} is not in the batch" for n in kept.keys() - given.keys()]
+    wrong += [
+        f"{n} is {given[n].simpleString()}, the table has {kept[n].simpleString()}"
+        for n in given.keys() & kept.keys()
+        if not _fits(given[n], kept[n])
+    ]
+    if wrong:
+        raise SchemaChanged(f"the batch does not fit {table}: {', '.join(sorted(wrong))}")
+
+
 def merged(
     target: DataFrame,
     source: DataFrame,
@@ -47,7 +79,7 @@ def merged(
         updated = F.expr(matched[name]) if name in matched else old
         new = F.expr(inserted[name]) if name in inserted else F.lit(None)
         value = F.when(in_t & in_s, updated).when(in_t, old).otherwise(new)
-        columns.append(value.cast(field.dataType).alias(name))
+        columns.append(value.cast(field.dataType).alias(name, metadata=field.metadata))
     return joined.select(*columns)
 
 
@@ -58,43 +90,48 @@ def merge_into(
     keys: Sequence[str],
     matched: Mapping[str, str],
     inserted: Mapping[str, str],
-    partition_by: Sequence[str] = (),
 ) -> None:
     """Apply `source` to `table`; raises before writing when a target row has several source rows.
 
-    Partitioned by columns that are part of the key, only partitions named in the source are read
-    and rewritten. Otherwise the new table is written beside the old one and takes its name.
-    The source is computed once, into `<table>__batch`, and read from there by every step.
+    The table keeps its partitioning, comments and properties. If its partition columns are part of the
+    key, only the partitions that the source names are read and rewritten, however many and of
+    however many columns; otherwise the whole table is. The source is computed once, into
+    `<table>__batch_<run>`. The merged rows are complete in `<table>__next_<run>` before the table is
+    touched; a run that stops while they are put in place is finished by the next one. While one run
+    writes, another is refused.
     """
-    if not set(partition_by) <= set(keys):
-        raise ValueError("the partition columns must be part of the merge key")
-    _recover(spark, table)
-    batch = f"{table}__batch"
-    _writer(source, "overwrite", ()).saveAsTable(batch)
+    staged.refuse_if_busy(spark, table)
+    parts = staged.partitioning(spark, table)
+    narrow = bool(parts) and set(parts) <= set(keys)
+    run = staged.new_run()
+    batch, following = f"{table}__batch_{run}", f"{table}__next_{run}"
     try:
+        staged.write(source, batch, parts if narrow and set(parts) < set(source.columns) else ())
         changes, target = spark.table(batch), spark.table(table)
-        if partition_by:
-            target = _touched(target, changes, partition_by)
+        if narrow:
+            target = target.where(_touched(changes, parts))
         _refuse_ambiguous(target, changes, keys)
-        result = merged(target, changes, keys, matched, inserted)
-        if partition_by:
-            _replace_partitions(spark, result, table, partition_by)
+        staged.write(merged(target, changes, keys, matched, inserted), following, parts)
+        if narrow:
+            staged.commit(spark, table, following, staged.PARTITIONS)
         else:
-            _swap_in(spark, result, table)
+            staged.finish(spark, table, following, keep=True)
+    except Exception:
+        staged._drop_unless_ready(spark, following)
+        raise
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {batch}")
 
 
-def merge_upsert(
-    spark: SparkSession,
-    table: str,
-    source: DataFrame,
-    keys: Sequence[str],
-    partition_by: Sequence[str] = (),
-) -> None:
-    """Update every column of matched rows, insert the other source rows."""
+def merge_upsert(spark: SparkSession, table: str, source: DataFrame, keys: Sequence[str]) -> None:
+    """Update every column of matched rows, insert the other source rows.
+
+    The batch must have the table's columns, of the same types or of narrower ones; else it is refused.
+    """
+    staged.recover(spark, table)
+    _require_same_columns(table, spark.table(table), source)
     every = {name: f"s.`{name}`" for name in source.columns}
-    merge_into(spark, table, source, keys, every, every, partition_by)
+    merge_into(spark, table, source, keys, every, every)
 
 
 def merge_increment(
@@ -118,65 +155,21 @@ def create_or_merge(
     keys: Sequence[str],
     partition_by: Sequence[str] = (),
 ) -> None:
-    """Create the table from the first batch, merge every later one."""
-    _recover(spark, table)
+    """Create the table, partitioned as given, from the first batch; merge every later one."""
+    if not set(partition_by) <= set(keys):
+        raise ValueError("the partition columns must be part of the merge key")
+    staged.recover(spark, table)
     if spark.catalog.tableExists(table):
-        merge_upsert(spark, table, batch, keys, partition_by)
+        merge_upsert(spark, table, batch, keys)
     else:
         _writer(batch, "overwrite", partition_by).saveAsTable(table)
 
 
-def _touched(target: DataFrame, source: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """The target's partitions that occur in the source.
+def _touched(changes: DataFrame, parts: Sequence[str]) -> Column:
+    """A condition on partition columns alone that holds for the partitions of `changes`.
 
-    Up to `MAX_PRUNED` of them are named in the plan, so the scan reads only those folders; beyond
-    that a semi join selects the same partitions.
+    The list has one entry per partition of the batch, as a catalogue lists them; Spark evaluates the
+    condition on the table's partitions before it reads any.
     """
-    values = source.select(*partition_by).distinct()
-    if len(partition_by) == 1:
-        named = [row[0] for row in values.limit(MAX_PRUNED + 1).collect()]
-        if len(named) <= MAX_PRUNED:
-            part = F.col(partition_by[0])
-            keep = part.isin([v for v in named if v is not None])
-            return target.where(keep | part.isNull() if None in named else keep)
-    renamed = values.toDF(*[f"__{c}" for c in partition_by])
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in partition_by]
-    return target.join(renamed, same, "left_semi")
-
-
-def _replace_partitions(
-    spark: SparkSession, result: DataFrame, table: str, partition_by: Sequence[str]
-) -> None:
-    """Overwrite exactly the partitions present in `result`.
-
-    Spark stages the new files and swaps folders at commit, so the table may be read meanwhile.
-    """
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    columns = spark.table(table).columns
-    spark.conf.set(setting, "dynamic")
-    try:
-        balanced = result.select(*columns).hint("rebalance", *partition_by)
-        balanced.write.mode("overwrite").insertInto(table)
-    finally:
-        spark.conf.set(setting, before)
-
-
-def _swap_in(spark: SparkSession, result: DataFrame, table: str) -> None:
-    following, previous = f"{table}__next", f"{table}__previous"
-    spark.sql(f"DROP TABLE IF EXISTS {following}")
-    _writer(result, "overwrite", ()).saveAsTable(following)
-    spark.sql(f"ALTER TABLE {table} RENAME TO {previous}")
-    spark.sql(f"ALTER TABLE {following} RENAME TO {table}")
-    spark.sql(f"DROP TABLE {previous}")
-
-
-def _recover(spark: SparkSession, table: str) -> None:
-    """Finish or undo a swap that an earlier run left half done."""
-    previous = f"{table}__previous"
-    if not spark.catalog.tableExists(previous):
-        return
-    if spark.catalog.tableExists(table):
-        spark.sql(f"DROP TABLE {previous}")
-    else:
-        spark.sql(f"ALTER TABLE {previous} RENAME TO {table}")
+    name = F.concat_ws("/", *[F.coalesce(F.concat(F.lit("="), F.col(p).cast("string")), F.lit("null")) for p in parts])
+    return name.isin([row[0] for row in changes.select(name.alias("p")).distinct().collect()])

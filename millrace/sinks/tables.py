@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.checks.gates import GateFailed, require_rule
+from millrace.checks.gates import EXAMPLES, GateFailed
+from millrace.sinks import staged
 
 
 class SchemaChanged(ValueError):
@@ -26,7 +27,6 @@ def table_columns(spark: SparkSession, table: str) -> list[tuple[str, str]]:
 
 
 def _writer(df: DataFrame, mode: str, partition_by: Sequence[str]):
-    # One task per partition value would follow the data's skew: let Spark balance the files.
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode)
@@ -61,18 +61,35 @@ def append(df: DataFrame, table: str) -> None:
 
 
 def recreate(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
-    """Drop the table with everything attached to it, then write it anew."""
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-    _writer(df, "overwrite", partition_by).saveAsTable(table)
+    """Write the table anew, with nothing kept of the old one. `df` may read the table itself.
+
+    The new rows are complete beside the old table before that is dropped; a failing write leaves it.
+    """
+    staged.replace(df, table, partition_by)
 
 
 def write_checked(df: DataFrame, table: str, rule: str, partition_by: Sequence[str] = ()) -> None:
     """Write only if every row meets the SQL `rule`; a rule that is null counts as broken.
 
-    The rows are checked before anything is replaced, so a failing batch leaves the table as it was.
+    The input is computed once: its rows are written beside the table and broken ones counted by that
+    write. A failing batch leaves the table as it was.
     """
-    require_rule(df, rule)
-    recreate(df, table, partition_by)
+    spark = df.sparkSession
+    staged.refuse_if_busy(spark, table)
+    following = f"{table}__next_{staged.new_run()}"
+    broken = ~F.coalesce(F.expr(rule), F.lit(False))
+    seen = Observation()
+    try:
+        observed = df.observe(seen, F.count(F.when(broken, 1)).alias("broken"))
+        staged.write(observed, following, partition_by)
+        count = seen.get["broken"]
+        if count:
+            shown = "; ".join(str(r.asDict()) for r in spark.table(following).where(broken).take(EXAMPLES))
+            raise GateFailed(f"{count} row(s) break the rule {rule!r}, e.g. {shown}")
+        staged.finish(spark, table, following, keep=False)
+    except Exception:
+        staged._drop_unless_ready(spark, following)
+        raise
 
 
 def land(raw: DataFrame, table: str, source_object: str) -> int:
@@ -80,8 +97,6 @@ def land(raw: DataFrame, table: str, source_object: str) -> int:
 
     The rows are counted by the write itself and compared with the written table's.
     """
-    from pyspark.sql import Observation
-
     seen = Observation()
     landed = raw.withColumn("source_object", F.lit(source_object))
     overwrite(landed.observe(seen, F.count(F.lit(1)).alias("rows")), table)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.checks.gates import GateFailed
-from millrace.sinks import merge, scratch, tables
+from millrace.sinks import merge, scratch, staged, tables
 from millrace.sources import readers
 
 
@@ -73,6 +73,28 @@ def test_scratch_tables_go_to_the_shared_folder(spark):
     assert location.replace("file:", "") == f"{spark.conf.get('spark.checkpoint.dir')}/{name}"
 
 
+def test_no_scratch_database_is_left(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    scratch.release(spark)
+    with scratch.cleared(spark):
+        name = scratch.scratch_database(spark)
+        spark.range(3).write.saveAsTable(f"{name}.t")
+        spark.range(3).write.parquet(scratch.scratch_path(spark, "rows"))
+        assert list(folder.glob("millrace_*"))
+    assert not list(folder.glob("millrace_*"))
+    assert not [d.name for d in spark.catalog.listDatabases() if d.name.startswith("millrace_")]
+
+
+def test_a_session_that_hides_its_master_is_no_local_one():
+    class Hidden:
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_folder(Hidden)
+
+
 def test_a_missing_feed_is_named(spark, tmp_path):
     with pytest.raises(readers.FeedMissing, match="nowhere"):
         readers.scan_parquet(spark, str(tmp_path / "nowhere"))
@@ -119,10 +141,10 @@ def test_upsert_equals_a_dictionary_update(spark, schema, rows_of, partition_by,
     table = f"{schema}.t"
     tables.overwrite(spark.createDataFrame(as_rows(target), TARGET), table, partition_by)
     batch = spark.createDataFrame(as_rows(source), TARGET)
-    merge.merge_upsert(spark, table, batch, ["k", "p"], partition_by)
+    merge.merge_upsert(spark, table, batch, ["k", "p"])
     expected = sorted(as_rows({**target, **source}), key=repr)
     assert rows_of(spark.table(table).select("k", "p", "v", "w")) == expected
-    merge.merge_upsert(spark, table, batch, ["k", "p"], partition_by)
+    merge.merge_upsert(spark, table, batch, ["k", "p"])
     assert rows_of(spark.table(table).select("k", "p", "v", "w")) == expected
 
 
@@ -135,7 +157,7 @@ def test_only_touched_partitions_are_rewritten(spark, schema):
 
     kept, replaced = files(1), files(2)
     batch = spark.createDataFrame([(2, 2, "b", 2), (3, 2, "c", 3)], TARGET)
-    merge.merge_upsert(spark, table, batch, ["k", "p"], ["p"])
+    merge.merge_upsert(spark, table, batch, ["k", "p"])
     assert files(1) == kept and not files(2) & replaced
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").upper() == "STATIC"
 
@@ -144,13 +166,152 @@ def test_rows_of_a_null_partition_survive(spark, schema, rows_of):
     table = f"{schema}.t"
     tables.overwrite(spark.createDataFrame([(1, None, "a", 1), (2, 2, "b", 2)], TARGET), table, ["p"])
     batch = spark.createDataFrame([(9, None, "n", 9), (2, 2, "c", 3)], TARGET)
-    merge.merge_upsert(spark, table, batch, ["k", "p"], ["p"])
+    merge.merge_upsert(spark, table, batch, ["k", "p"])
     assert rows_of(spark.table(table).select("k", "v")) == [(1, "a"), (2, "c"), (9, "n")]
 
 
-def test_many_partitions_are_selected_by_a_join(spark, schema, rows_of, monkeypatch):
-    monkeypatch.setattr(merge, "MAX_PRUNED", 1)
-    test_upsert_equals_a_dictionary_update(spark, schema, rows_of, ["p"], 4)
+def test_any_number_of_partitions_is_touched_by_name(spark, schema):
+    table = f"{schema}.t"
+    rows = spark.range(1101).select(F.col("id").cast("int").alias("k"), F.col("id").cast("int").alias("p"), F.lit("a").alias("v"), F.lit(1).alias("w"))
+    tables.overwrite(rows.coalesce(1), table, ["p"])
+    batch = rows.where("p < 1050").withColumn("v", F.lit("b"))
+    merge.merge_upsert(spark, table, batch.coalesce(1), ["k", "p"])
+    counts = {r["v"]: r["count"] for r in spark.table(table).groupBy("v").count().collect()}
+    assert counts == {"a": 51, "b": 1050}
+
+
+def test_several_partition_columns_limit_the_scan(spark, schema, rows_of):
+    table = f"{schema}.t"
+    rows = [(i, i % 3, None if i % 5 == 0 else f"q{i % 2}", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, p int, q string, w int")
+    tables.overwrite(df, table, ["p", "q"])
+    batch = df.where("k in (0, 4)").withColumn("w", F.lit(99))
+    changes = batch.select("p", "q").distinct()
+    touched = spark.table(table).where(merge._touched(changes, ["p", "q"]))
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [concat_ws" in plan
+    merge.merge_upsert(spark, table, batch, ["k", "p", "q"])
+    expected = [(k, p, q, 99 if k in (0, 4) else w) for k, p, q, w in rows if q is not None or k != 0]
+    # A null in the key matches nothing, so the row of key 0 is inserted beside its old version.
+    expected += [(0, 0, None, 0), (0, 0, None, 99)]
+    assert rows_of(spark.table(table).select("k", "p", "q", "w")) == sorted(expected, key=repr)
+
+
+def test_a_merge_keeps_partitioning_comments_and_properties(spark, schema, rows_of):
+    table = f"{schema}.t"
+    spark.sql(f"""CREATE TABLE {table} (k INT COMMENT 'the key', v STRING, p INT) USING parquet
+        PARTITIONED BY (p) COMMENT 'kept' TBLPROPERTIES ('owner.team' = 'x')""")
+    spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, p int").write.insertInto(table)
+    merge.merge_upsert(spark, table, spark.createDataFrame([(1, "c", 2), (3, "d", 3)], "k int, v string, p int"), ["k"])
+    assert rows_of(spark.table(table)) == [(1, "c", 2), (2, "b", 2), (3, "d", 3)]
+    assert staged.partitioning(spark, table) == ["p"]
+    found = staged.properties(spark, table)
+    assert found["owner.team"] == "x" and found["comment"] == "kept"
+    assert {c.name: c.description for c in spark.catalog.listColumns(table)}["k"] == "the key"
+    assert not [k for k in found if k.startswith(staged.READY)]
+
+
+@pytest.mark.parametrize(
+    "batch, schema_of_batch, told",
+    [
+        ((1, "b", 1, 2, "x"), "k int, v string, p int, w int, extra string", "extra is not in the table"),
+        ((1, "b", 1), "k int, v string, p int", "w is not in the batch"),
+        ((1, "b", 1, 2**40), "k int, v string, p int, w bigint", "w is bigint"),
+    ],
+)
+def test_a_batch_of_other_columns_is_refused(spark, schema, rows_of, batch, schema_of_batch, told):
+    table = f"{schema}.t"
+    tables.overwrite(spark.createDataFrame([(1, 1, "a", 1)], TARGET), table)
+    with pytest.raises(tables.SchemaChanged, match=told):
+        merge.merge_upsert(spark, table, spark.createDataFrame([batch], schema_of_batch), ["k"])
+    assert rows_of(spark.table(table)) == [(1, 1, "a", 1)]
+
+
+def test_a_finer_decimal_is_refused_and_a_narrower_one_taken(spark, schema, rows_of):
+    table = f"{schema}.t"
+    tables.overwrite(spark.sql("SELECT 1 AS k, CAST(1.5 AS DECIMAL(10,2)) AS v"), table)
+    with pytest.raises(tables.SchemaChanged, match=r"decimal\(10,3\)"):
+        merge.merge_upsert(spark, table, spark.sql("SELECT 1 AS k, CAST(1.239 AS DECIMAL(10,3)) AS v"), ["k"])
+    merge.merge_upsert(spark, table, spark.sql("SELECT 1 AS k, CAST(1.2 AS DECIMAL(5,1)) AS v"), ["k"])
+    assert [str(r["v"]) for r in spark.table(table).collect()] == ["1.20"]
+
+
+@pytest.mark.parametrize("lost", [[], [1], [1, 2]])
+def test_a_commit_that_stopped_between_folders_is_replayed(spark, schema, rows_of, monkeypatch, lost):
+    """The run dies in the commit, after some of the touched partitions were removed."""
+    table = f"{schema}.t"
+    tables.overwrite(spark.createDataFrame([(1, 1, "a", 1), (2, 2, "b", 1), (3, 3, "c", 1)], TARGET), table, ["p"])
+
+    def dies(spark, name, following, how):
+        for part in lost:
+            spark.sql(f"ALTER TABLE {name} DROP PARTITION (p = {part})")
+        raise RuntimeError("executor lost")
+
+    batch = spark.createDataFrame([(1, 1, "x", 2), (4, 2, "y", 2)], TARGET)
+    with monkeypatch.context() as patch:
+        patch.setattr(staged, "_apply", dies)
+        with pytest.raises(RuntimeError):
+            merge.merge_upsert(spark, table, batch, ["k", "p"])
+    merge.merge_upsert(spark, table, spark.createDataFrame([(3, 3, "z", 3)], TARGET), ["k", "p"])
+    expected = [(1, 1, "x", 2), (2, 2, "b", 1), (3, 3, "z", 3), (4, 2, "y", 2)]
+    assert rows_of(spark.table(table).select("k", "p", "v", "w")) == expected
+    assert [t.name for t in spark.catalog.listTables(schema)] == ["t"]
+
+
+def test_a_replacement_that_stopped_is_finished_by_the_next_run(spark, schema, rows_of, monkeypatch):
+    table = f"{schema}.t"
+    tables.overwrite(spark.createDataFrame([(1, "a")], "k int, v string"), table)
+
+    def dies(spark, name, following, how):
+        spark.sql(f"DROP TABLE {name}")
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(staged, "_apply", dies)
+        with pytest.raises(RuntimeError):
+            merge.merge_upsert(spark, table, spark.createDataFrame([(2, "b")], "k int, v string"), ["k"])
+    merge.create_or_merge(spark, table, spark.createDataFrame([(3, "c")], "k int, v string"), ["k"])
+    assert rows_of(spark.table(table)) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_second_merge_is_refused_while_one_is_open(spark, schema, rows_of):
+    table = f"{schema}.t"
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    tables.overwrite(df, table)
+    tables.overwrite(df, f"{table}__next_0123456789ab")
+    tables.overwrite(df, f"{table}__next")  # a table of the user's own
+    with pytest.raises(staged.TableBusy):
+        merge.merge_upsert(spark, table, df, ["k"])
+    staged.abandon(spark, table)
+    merge.merge_upsert(spark, table, df, ["k"])
+    assert rows_of(spark.table(f"{table}__next")) == [(1, "a")]
+
+
+@pytest.mark.parametrize("partition_by", [[], ["p"]])
+def test_a_table_may_be_recreated_from_itself(spark, schema, rows_of, partition_by):
+    table = f"{schema}.t"
+    tables.overwrite(spark.createDataFrame([(1, 1, "a", 1), (2, 2, "b", 1)], TARGET), table, partition_by)
+    tables.recreate(spark.table(table).where("k = 2").select("k", "p", "v"), table, partition_by)
+    assert rows_of(spark.table(table).select("k", "p", "v")) == [(2, 2, "b")]
+
+
+def test_a_failing_write_leaves_the_old_table(spark, schema, rows_of):
+    table = f"{schema}.t"
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    tables.overwrite(df, table)
+    broken = df.withColumn("k", F.raise_error(F.lit("no")).cast("int"))
+    for write in (lambda: tables.recreate(broken, table), lambda: tables.write_checked(broken, table, "true")):
+        with pytest.raises(Exception, match="no"):
+            write()
+        assert rows_of(spark.table(table)) == [(1, "a")]
+    assert [t.name for t in spark.catalog.listTables(schema)] == ["t"]
+
+
+def test_the_input_of_a_checked_write_is_computed_once(spark, schema):
+    counter = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(10)).map(lambda i: (counter.add(1), (i,))[1]), "k int")
+    tables.write_checked(df, f"{schema}.t", "k >= 0")
+    assert counter.value == 10
 
 
 def test_several_source_rows_for_one_target_row_are_refused(spark, schema, rows_of):
@@ -186,18 +347,8 @@ def test_create_then_merge(spark, schema, rows_of):
     assert rows_of(spark.table(table)) == [(1, "b"), (2, "c")]
 
 
-def test_a_swap_that_stopped_half_way_is_undone(spark, schema, rows_of):
-    table = f"{schema}.t"
-    tables.overwrite(spark.createDataFrame([(1, "a")], "k int, v string"), table)
-    spark.sql(f"ALTER TABLE {table} RENAME TO {table}__previous")
-    merge.create_or_merge(spark, table, spark.createDataFrame([(2, "b")], "k int, v string"), ["k"])
-    assert rows_of(spark.table(table)) == [(1, "a"), (2, "b")]
-    assert not spark.catalog.tableExists(f"{table}__previous")
-
-
 def test_the_partition_must_be_part_of_the_key(spark, schema):
     table = f"{schema}.t"
     df = spark.createDataFrame([(1, 1, "a", 1)], TARGET)
-    tables.overwrite(df, table, ["p"])
     with pytest.raises(ValueError, match="part of the merge key"):
-        merge.merge_upsert(spark, table, df, ["k"], ["p"])
+        merge.create_or_merge(spark, table, df, ["k"], ["p"])
