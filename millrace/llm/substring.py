@@ -16,10 +16,13 @@ from millrace.llm.repeats import Rules, compressed, repeat_results, restored
 GRAM = 6
 
 
-def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, before = blocks.word_bounds(data, offsets)
-    words = blocks.span_hash(blocks.prefix_hash(data), starts, ends)
-    return words, blocks.gram_hash(words, GRAM), before
+def _symbols(gram: int):
+    def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, before = blocks.word_bounds(data, offsets)
+        words = blocks.span_hash(blocks.prefix_hash(data), starts, ends)
+        return words, blocks.gram_hash(words, gram), before
+
+    return symbols
 
 
 def _pack(words: np.ndarray) -> bytes:
@@ -61,7 +64,7 @@ def rules(window: int = 20) -> Rules:
     return Rules(
         window=window,
         gram=min(GRAM, window),
-        symbols=_symbols,
+        symbols=_symbols(min(GRAM, window)),
         pack=_pack,
         unpack=_unpack,
         earliest=lambda words, starts, windows: earliest_windows(words, starts, windows, window),
