@@ -94,8 +94,10 @@ def promised_days(carrier: Column | str) -> Column:
 
 
 def on_time(carrier: Column | str, transit_days: Column | str) -> Column:
-    """Null while in transit and for a carrier without a promise."""
-    return col(transit_days) <= promised_days(carrier)
+    """Null while in transit and for a carrier without a promise; a delivery before its shipping raises."""
+    days = col(transit_days)
+    wrong = F.raise_error(F.concat(F.lit("transit days cannot be negative: "), days.cast("string")))
+    return F.when(days < 0, wrong.cast("boolean")).otherwise(days <= promised_days(carrier))
 
 
 def is_active_flag(c: Column | str, word: str) -> Column:

@@ -1,6 +1,6 @@
 """Runnable jobs: named tables in, checked tables out."""
 
-from millrace.jobs import commerce, finance, records
+from millrace.jobs import commerce, feeds, finance, records
 
 JOBS = {
     "price_alerts": commerce.price_alerts,
@@ -29,4 +29,11 @@ JOBS = {
     "churn_scores": records.churn_scores,
     "contacts": records.customer_contacts,
     "email_domains": records.email_domains,
+    "carrier_feed": feeds.carrier_feed,
+    "warehouses": feeds.warehouses,
+    "order_items": feeds.order_items,
+    "catalog_enrichment": feeds.catalog_enrichment,
+    "journeys": feeds.journeys,
+    "loyalty": feeds.loyalty,
+    "audit_snapshot": feeds.audit_snapshot,
 }

@@ -16,10 +16,11 @@ from millrace.sinks import tables
 
 @dataclass(frozen=True)
 class Store:
-    """The tables of one schema."""
+    """The tables of one schema. With a `phase`, each published table must meet its contract of that phase."""
 
     spark: SparkSession
     schema: str
+    phase: str | None = None
 
     def name(self, table: str) -> str:
         return f"{self.schema}.{table}"
@@ -31,6 +32,8 @@ class Store:
         """Overwrite a table and return it as written; `checks` run on it in one pass."""
         tables.overwrite(df, self.name(table))
         self.require(table, *checks)
+        if self.phase and table in CONTRACTS:
+            self.check_contract(table, self.phase)
         return self.read(table)
 
     def require(self, table: str, *checks: dict[str, Any]) -> None:

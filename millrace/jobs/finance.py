@@ -52,10 +52,10 @@ def balances(store: Store) -> None:
 
 
 def late_fees(store: Store) -> None:
-    """overdue_accounts -> late_fee_assessments."""
+    """overdue_accounts -> late_fee_assessments_demo."""
     cap = "if(region = 'international', 50, 100)"
     store.publish(
-        "late_fee_assessments",
+        "late_fee_assessments_demo",
         customers.late_fees(store.read("overdue_accounts")),
         rule(f"fee_capped = (late_fee = {cap})"),
         rule("region <> 'international' OR late_fee <= 50"),

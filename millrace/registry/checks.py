@@ -36,8 +36,10 @@ def _row(check_id: str, kind: str, violations: str, rows: str = "count(*)") -> s
 @query(
     "check_schema",
     views=["crm_accounts_raw"],
-    oracle=f"""{_row("expected", "schema", "0")} FROM crm_accounts_raw UNION ALL
-    {_row("mistyped", "schema", "2")} FROM crm_accounts_raw""",
+    oracle=f""", typed AS (SELECT typeof(annual_revenue) <> 'DECIMAL(14,2)' AS revenue,
+        typeof(employee_count) <> 'INTEGER' AS employees, typeof(account_id) <> 'VARCHAR' AS id FROM crm_accounts_raw)
+    {_row("expected", "schema", "CAST(any_value(id) AS INT)")} FROM typed UNION ALL
+    {_row("mistyped", "schema", "CAST(any_value(revenue) AS INT) + CAST(any_value(employees) AS INT)")} FROM typed""",
 )
 def _(v: Inputs) -> DataFrame:
     """The raw table has none of the cleaned numeric types: two declared columns differ."""
@@ -54,12 +56,19 @@ def _(v: Inputs) -> DataFrame:
 @query(
     "check_columns",
     views=["suppliers_raw"],
-    oracle=f", {cleaning.SUPPLIERS_CTE} {_row('column_order', 'columns', '0')} FROM clean_suppliers",
+    oracle=f""", {cleaning.SUPPLIERS_CTE}, named AS (SELECT
+      string_agg(name, ',') AS names FROM (SELECT unnest(json_keys(to_json(t))) AS name
+        FROM (SELECT * FROM clean_suppliers LIMIT 1) AS t))
+    {_row('column_order', 'columns', f"CAST(any_value(names) <> '{','.join(procurement.SUPPLIER_COLUMNS)}' AS INT)")}
+      FROM clean_suppliers, named UNION ALL
+    {_row('one_lost', 'columns', f"CAST(any_value(names) <> '{','.join(procurement.SUPPLIER_COLUMNS[:-1])}' AS INT)")}
+      FROM clean_suppliers, named""",
 )
 def _(v: Inputs) -> DataFrame:
     return _suite(
         cleaning.suppliers(v),
         {"id": "column_order", "type": "columns", "columns": procurement.SUPPLIER_COLUMNS},
+        {"id": "one_lost", "type": "columns", "columns": procurement.SUPPLIER_COLUMNS[:-1]},
     )
 
 
@@ -187,10 +196,16 @@ def _(v: Inputs) -> DataFrame:
 @query(
     "check_row_rule",
     views=["overdue_accounts", "risk_snapshot"],
-    oracle=f"""{_row("capped_iff_at_cap", "row_rule", "0")} FROM overdue_accounts UNION ALL
-    {_row("international_cap", "row_rule", "0")} FROM overdue_accounts UNION ALL
-    {_row("vip_limit", "row_rule", "0")} FROM risk_snapshot
-      WHERE abs(discrepancy) > CASE tier WHEN 'vip' THEN 300 ELSE 100 END""",
+    oracle=f""", fees AS (SELECT region, CASE WHEN region = 'international' THEN 50 ELSE 100 END AS cap,
+        least(days_overdue * 5.0, CASE WHEN region = 'international' THEN 50 ELSE 100 END) AS late_fee
+      FROM overdue_accounts), high AS (SELECT * FROM risk_snapshot
+        WHERE abs(discrepancy) > CASE tier WHEN 'vip' THEN 300 ELSE 100 END)
+    {_row("capped_iff_at_cap", "row_rule", "count(*) FILTER (WHERE late_fee IS NULL OR late_fee > cap)")} FROM fees
+    UNION ALL {_row("international_cap", "row_rule",
+      "count(*) FILTER (WHERE region IS NULL OR (region = 'international' AND coalesce(late_fee > 50, TRUE)))")} FROM fees
+    UNION ALL {_row("under_cap", "row_rule", "count(*) FILTER (WHERE coalesce(late_fee >= cap, TRUE))")} FROM fees
+    UNION ALL {_row("vip_limit", "row_rule",
+      "count(*) FILTER (WHERE tier = 'vip' AND abs(discrepancy) <= 300)")} FROM high""",
 )
 def _(v: Inputs) -> DataFrame:
     fees = _suite(
@@ -205,6 +220,7 @@ def _(v: Inputs) -> DataFrame:
             "type": "row_rule",
             "rule": "region <> 'international' OR late_fee <= 50",
         },
+        {"id": "under_cap", "type": "row_rule", "rule": "NOT fee_capped"},
     )
     flagged = _suite(
         customers.high_risk_accounts(v.risk_snapshot),
@@ -272,25 +288,37 @@ def _(v: Inputs) -> DataFrame:
 @query(
     "check_same_count",
     views=["crm_accounts_raw"],
-    oracle=f"""SELECT 'accounts_kept' AS check_id, count(*) AS actual_rows, count(*) AS expected_rows,
-      CAST(0 AS BIGINT) AS violations, TRUE AS passed
-    FROM (SELECT DISTINCT trim(account_id) FROM crm_accounts_raw)""",
+    oracle=", n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT trim(account_id) FROM crm_accounts_raw)) AS kept, "
+    "(SELECT count(DISTINCT trim(account_id)) FROM crm_accounts_raw) AS keys, "
+    "(SELECT count(*) FROM crm_accounts_raw) AS rows) "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS check_id, kept AS actual_rows, {expected} AS expected_rows, "
+        f"abs(kept - {expected}) AS violations, kept = {expected} AS passed FROM n"
+        for name, expected in (("accounts_kept", "keys"), ("versions_kept", "rows"))
+    ),
 )
 def _(v: Inputs) -> DataFrame:
     clean = accounts.clean_crm_accounts(v.crm_accounts_raw)
     keys = F.count_distinct(F.trim("account_id"))
-    return reports.count_report("accounts_kept", clean, v.crm_accounts_raw, keys)
+    kept = reports.count_report("accounts_kept", clean, v.crm_accounts_raw, keys)
+    every = reports.count_report("versions_kept", clean, v.crm_accounts_raw, F.count(F.lit(1)))
+    return kept.unionByName(every)
 
 
 @query(
     "check_exact_count",
     views=["regional_orders"],
-    oracle="""SELECT 'five_regions' AS check_id, count(DISTINCT region_code) AS actual_rows,
-      abs(count(DISTINCT region_code) - 5) AS violations, count(DISTINCT region_code) = 5 AS passed
-    FROM regional_orders""",
+    oracle=" UNION ALL ".join(
+        f"SELECT '{name}' AS check_id, count(DISTINCT region_code) AS actual_rows, "
+        f"abs(count(DISTINCT region_code) - {n}) AS violations, count(DISTINCT region_code) = {n} AS passed "
+        "FROM regional_orders"
+        for name, n in (("five_regions", 5), ("seven_regions", 7))
+    ),
 )
 def _(v: Inputs) -> DataFrame:
-    return reports.exact_count_report("five_regions", sales.regional_revenue(v.regional_orders), 5)
+    regions = sales.regional_revenue(v.regional_orders)
+    five = reports.exact_count_report("five_regions", regions, 5)
+    return five.unionByName(reports.exact_count_report("seven_regions", regions, 7))
 
 
 @query(
@@ -309,20 +337,22 @@ def _(v: Inputs) -> DataFrame:
     return first.unionByName(second)
 
 
-def _total(name: str, value: str) -> str:
+def _total(name: str, report: str, source: str) -> str:
+    r, s = (f"CAST((SELECT {value} FROM {table}) AS DECIMAL(38,2))" for value, table in ((report, "by_country"), (source, "coded_orders")))
     return (
-        f"SELECT 'spend_report' AS check_id, '{name}' AS total, CAST({value} AS DECIMAL(38,2)) AS "
-        f"report_total, CAST({value} AS DECIMAL(38,2)) AS source_total, CAST(0 AS BIGINT) AS violations, "
-        f"TRUE AS passed"
+        f"SELECT 'spend_report' AS check_id, '{name}' AS total, {r} AS report_total, {s} AS source_total, "
+        f"CAST({r} IS DISTINCT FROM {s} AS BIGINT) AS violations, {r} IS NOT DISTINCT FROM {s} AS passed"
     )
 
 
 @query(
     "check_totals",
     views=["country_orders_raw"],
-    oracle=f""", {cleaning.ORDERS_CTE} {_total("orders", "count(*)")} FROM coded_orders
-    UNION ALL {_total("revenue", "sum(amount)")} FROM coded_orders
-    UNION ALL {_total("quantity", "sum(quantity)")} FROM coded_orders""",
+    oracle=f""", {cleaning.ORDERS_CTE}, by_country AS (SELECT country, count(*) AS n, sum(amount) AS revenue,
+        sum(quantity) AS units FROM coded_orders GROUP BY country)
+    {_total("orders", "sum(n)", "count(*)")} UNION ALL {_total("revenue", "sum(revenue)", "sum(amount)")}
+    UNION ALL {_total("quantity", "sum(units)", "sum(quantity)")}
+    UNION ALL {_total("orders_for_units", "sum(n)", "sum(quantity)")}""",
 )
 def _(v: Inputs) -> DataFrame:
     placed = country.country_orders_v2(v.country_orders_raw)
@@ -330,6 +360,7 @@ def _(v: Inputs) -> DataFrame:
         "orders": (F.sum("orders_count"), F.count(F.lit(1))),
         "revenue": (F.sum("revenue"), F.sum("amount")),
         "quantity": (F.sum("total_quantity"), F.sum("quantity")),
+        "orders_for_units": (F.sum("orders_count"), F.sum("quantity")),
     }
     return reports.totals_report("spend_report", country.country_revenue_v2(placed), placed, pairs)
 

@@ -164,7 +164,7 @@ def test_fees_risk_and_contacts(store, inputs):
     )
     JOBS["late_fees"](store)
     JOBS["high_risk"](store)
-    store.check_contract("late_fee_assessments", "postprod")
+    store.check_contract("late_fee_assessments_demo", "postprod")
     with pytest.raises(GateFailed, match="formatted_phone"):
         JOBS["contacts"](store)
     known = inputs.customer_contacts.where("country_code <> 'FR'")
@@ -265,3 +265,69 @@ def test_country_revenue(store, inputs, version):
     JOBS["country_revenue" if version == "cc" else "country_revenue_v2"](store)
     for table in ("customers", "orders", "revenue_by_country"):
         store.check_contract(f"{version}_{table}", "postprod")
+
+
+def test_shipping_runs_from_delivered_files(store, inputs, tmp_path):
+    delivered = str(tmp_path / "feed")
+    inputs.carrier_feed.dropDuplicates(["shipment_ref"]).write.option("header", True).csv(delivered)
+    assert JOBS["carrier_feed"](store, feed=delivered) > 0
+    JOBS["warehouses"](store)
+    JOBS["carrier_sla"](Store(store.spark, store.schema, "uat"))
+    for table in ("sd_warehouses", "sd_shipments", "sd_carrier_sla"):
+        store.check_contract(table, "postprod")
+
+
+def test_a_delivery_before_its_shipping_stops_the_report(store, inputs):
+    feed = inputs.carrier_feed.dropDuplicates(["shipment_ref"])
+    JOBS["warehouses"](store)
+    late = F.when(F.col("shipment_ref") == feed.agg(F.min("shipment_ref")).first()[0], "1990-01-01")
+    save(store, sd_carrier_feed=feed.withColumn("delivered_at", F.coalesce(late, "delivered_at")))
+    with pytest.raises(GateFailed, match="1 row.*transit_days"):
+        JOBS["carrier_sla"](store)
+    assert not store.spark.catalog.tableExists(store.name("sd_carrier_sla"))
+
+
+def test_a_phase_runs_the_contract_of_what_is_published(store, inputs, monkeypatch):
+    save(store, sf_accounts_raw=inputs.crm_accounts_raw, sf_account_tier_raw=inputs.crm_tiers_raw)
+    main(["accounts", "--schema", store.schema, "--phase", "uat"])
+    kept = store.read("account_summary").drop("strategic_accounts")
+    summary = store.spark.createDataFrame(kept.collect(), kept.schema)
+    with pytest.raises(GateFailed, match="later_schema"):
+        Store(store.spark, store.schema, "uat").publish("account_summary", summary)
+    Store(store.spark, store.schema, "branch").publish("account_summary", summary)
+
+
+def test_every_check_of_the_contracts_exists():
+    from millrace.checks.contracts import CONTRACTS
+
+    assert sum(len(c["checks"]) for c in CONTRACTS.values()) == 120
+    assert {p for c in CONTRACTS["customers"]["checks"] for p in c["phases"]} == {"postprod"}
+    assert "later_schema" in CONTRACTS["account_summary"]["required"]
+
+
+def test_items_catalogue_loyalty_journeys_and_audit(store, tmp_path):
+    spark = store.spark
+    headers = spark.range(50).withColumnRenamed("id", "order_id").withColumn("status", F.lit("open"))
+    items = spark.range(200).select(F.col("id").alias("line_item_id"), (F.col("id") % 50).alias("order_id"), (F.col("id") % 7).alias("product_id"))
+    catalogue = spark.range(5).select(F.col("id").alias("product_id"), F.lit("x" * 100).alias("description"))
+    events = items.select(F.lit("UNKNOWN").alias("customer_id"), F.col("line_item_id").alias("event_seq"), F.lit("p").alias("payload"))
+    people = typed_rows(spark, [("C1", "gold"), ("C2", "silver")], "customer_id string, loyalty_tier string")
+    feed = str(tmp_path / "loyalty")
+    typed_rows(spark, [("C1", 5)], "customer_id string, points int").write.parquet(feed)
+    grants = typed_rows(spark, [("t", "SELECT", "svc")], "table_name string, access_type string, principal string")
+    save(store, order_headers=headers, order_line_items=items, order_items=items, product_catalog=catalogue,
+         order_events=events, loyalty_customers=people, audit_grants=grants)
+    JOBS["order_items"](store)
+    assert store.read("enriched_order_items").where("status = 'open'").count() == 200
+    JOBS["catalog_enrichment"](store)
+    assert store.read("catalog_order_items").where("description IS NULL").count() == items.where("product_id > 4").count()
+    JOBS["journeys"](store, max_events=60)
+    assert [r["event_count"] for r in store.read("customer_journeys").orderBy("part_no").collect()] == [60, 60, 60, 20]
+    JOBS["loyalty"](store, feed=feed)
+    assert {r["customer_id"]: r["points"] for r in store.read("loyalty_enriched").collect()} == {"C1": 5, "C2": None}
+    for _ in range(2):
+        JOBS["audit_snapshot"](store)
+    assert store.read("audit_trail_snapshot").count() == 2
+    save(store, order_headers=headers.where("order_id > 0"))
+    with pytest.raises(GateFailed, match="expected"):
+        JOBS["order_items"](store)
