@@ -3,8 +3,9 @@
 Each text becomes a short vector of statistics (lengths, shares of character classes, repeated words and
 lines). After standardising, cosines of random projections approximate a Gaussian kernel on them. The
 normal equations of ridge regression are sums over documents: each partition sums its part, the
-parts are added row by row in a shuffle, and the driver solves one system of the features' size. Scores
-of labelled documents that were not fitted on are then calibrated by isotonic regression over score bins.
+parts are added row by row in a shuffle, and the driver solves systems of the features' size. The sums are
+kept by fold: each fold's documents are scored by the fit to the other folds, and those scores calibrated
+by isotonic regression over score bins. The final weights are fitted on all folds.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ STATISTICS = (
     "high", "line", "distinct_words", "top_word", "marked_words", "repeated_lines", "upper_words", "short_words",
 )
 BINS = 4096
+#: Remainders of crc32(doc_id) modulo 4 that labels are learned from; 2 is held out.
+FOLDS = (0, 1, 3)
 
 
 def _classes() -> np.ndarray:
@@ -159,19 +162,30 @@ def _matrix(batch: pa.RecordBatch, name: str = "stats") -> np.ndarray:
 def _sum_equations(model: Model):
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(model.phases) + 1
-        total = np.zeros((size, size + 1))
+        total = np.zeros((len(FOLDS), size, size + 1))
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 part = batch.slice(lo, 4096)
-                x = model.features(_matrix(part))
-                total[:, :size] += x.T @ x
-                total[:, size] += x.T @ part.column("label").to_numpy(zero_copy_only=False)
+                fold = part.column("fold").to_numpy(zero_copy_only=False)
+                features, label = model.features(_matrix(part)), part.column("label").to_numpy(zero_copy_only=False)
+                for k, own in enumerate(FOLDS):
+                    x, y = features[fold == own], label[fold == own]
+                    total[k, :, :size] += x.T @ x
+                    total[k, :, size] += x.T @ y
         rows = pa.FixedSizeListArray.from_arrays(pa.array(total.reshape(-1)), size + 1).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), rows], ["i", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(FOLDS) * size), pa.int32()), rows], ["i", "sums"])
 
     return add
 
 
+def _solve(system: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights from summed equations; the last feature is the constant, whose sum counts the rows."""
+    size = len(system)
+    penalty = (0.1 + ridge * system[-1, size - 1] / size) * np.eye(size)
+    penalty[-1, -1] = 1e-9
+    return np.linalg.lstsq(system[:, :size] + penalty, system[:, size], rcond=None)[0]
+
+
 def _add_rows(table: pa.Table) -> pa.Table:
     """Sum of the partitions' versions of one row of the equations."""
     vectors = np.stack([np.asarray(v) for v in table.column("sums").to_pylist()])
@@ -201,7 +215,7 @@ def isotonic(values: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
 
 
 def labelled_rows(stats: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Statistics and label (0 or 1) of the documents labels may be learned from; fold 3 calibrates.
+    """Statistics and label (0 or 1) of the documents labels may be learned from, and their fold.
 
     Null labels are left out; of several labels of a document their mean counts.
     """
@@ -233,30 +247,29 @@ def fit(
     scale = np.array([moments[f"s{k}"] for k in range(size)])
     scale[~(scale > 1e-9)] = 1.0
     random = np.random.default_rng(seed)
-    # Kernel width: the typical distance of two standardised vectors, the root of twice their size.
-    directions = random.normal(size=(size, features)) / np.sqrt(2 * size) * 2
+    # Kernel width: two typical standardised vectors differ by the root of twice their size.
+    directions = random.normal(size=(size, features)) / np.sqrt(2 * size) * 1.5
     phases = random.uniform(0, 2 * np.pi, features)
     model = Model(mean, scale, directions, phases, np.zeros(features + 1), np.zeros(1), np.ones(1))
 
-    fitted = rows.where("fold != 3")
-    parts = fitted.select("stats", "label").mapInArrow(_sum_equations(model), "i int, sums array<double>")
-    summed = parts.groupBy("i").applyInArrow(_add_rows, "i int, sums array<double>")
-    system = np.zeros((features + 1, features + 2))
-    for row in summed.collect():
-        system[row["i"]] = row["sums"]
-    count = max(system[-1, features], 1.0)
-    gram, target = system[:, : features + 1], system[:, features + 1]
-    penalty = ridge * count / features * np.eye(features + 1)
-    penalty[-1, -1] = 1e-9
-    model = dataclasses.replace(model, weights=np.linalg.lstsq(gram + penalty, target, rcond=None)[0])
-
-    def binned(part: DataFrame) -> list:
-        scored = part.select("label", "stats").mapInArrow(_scores(model, score=False), "label double, value double")
-        slot = F.floor((F.greatest(F.least("value", F.lit(2.0)), F.lit(-1.0)) + 1) / 3 * (BINS - 1)).alias("slot")
-        sums = scored.groupBy(slot).agg(F.avg("value").alias("v"), F.avg("label").alias("y"), F.count("*").alias("w"))
-        return sorted((r["v"], r["y"], r["w"]) for r in sums.collect())
-
-    bins = binned(rows.where("fold = 3")) or binned(rows)
+    parts = rows.select("stats", "label", "fold").mapInArrow(_sum_equations(model), "i int, sums array<double>")
+    systems = np.zeros((len(FOLDS) * (features + 1), features + 2))
+    for row in parts.groupBy("i").applyInArrow(_add_rows, "i int, sums array<double>").collect():
+        systems[row["i"]] = row["sums"]
+    systems = systems.reshape(len(FOLDS), features + 1, features + 2)
+    every = systems.sum(axis=0)
+    model = dataclasses.replace(model, weights=_solve(every, ridge))
+
+    scored = None
+    for k, fold in enumerate(FOLDS):
+        others = every - systems[k]
+        apart = model if others[-1, features] < 1 else dataclasses.replace(model, weights=_solve(others, ridge))
+        part = rows.where(F.col("fold") == fold).select("label", "stats")
+        part = part.mapInArrow(_scores(apart, score=False), "label double, value double")
+        scored = part if scored is None else scored.union(part)
+    slot = F.floor((F.greatest(F.least("value", F.lit(2.0)), F.lit(-1.0)) + 1) / 3 * (BINS - 1)).alias("slot")
+    sums = scored.groupBy(slot).agg(F.avg("value").alias("v"), F.avg("label").alias("y"), F.count("*").alias("w"))
+    bins = sorted((r["v"], r["y"], r["w"]) for r in sums.collect())
     knots, levels = isotonic(*(np.array(x, float) for x in zip(*bins, strict=True)))
     return dataclasses.replace(model, knots=knots, levels=levels)
 
