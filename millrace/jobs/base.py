@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.checks.contracts import CONTRACTS
-from millrace.checks.gates import GateFailed
+from millrace.checks.gates import EXAMPLES, GateFailed
 from millrace.checks.suite import failed_required, run_check_suite
 from millrace.sinks import tables
 
@@ -47,7 +47,14 @@ class Store:
     def _run(self, table: str, spec: dict[str, Any], phase: str | None) -> None:
         failed = failed_required(run_check_suite(self.read(table), spec, phase))
         if failed:
-            raise GateFailed(f"{self.name(table)} fails {failed}")
+            shown = [
+                str(row.asDict())
+                for check in spec["checks"]
+                if check["id"] in failed and check["type"] == "row_rule"
+                for row in self.read(table).where(f"NOT coalesce({check['rule']}, false)").take(EXAMPLES)
+            ]
+            told = f", e.g. {'; '.join(shown)}" if shown else ""
+            raise GateFailed(f"{self.name(table)} fails {failed}{told}")
 
 
 def unique(*columns: str) -> dict[str, Any]:

@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from millrace.checks.gates import (
     require_equal_totals,
-    require_known,
     require_no_orphans,
-    require_rule,
     require_same_count,
     require_totals,
 )
 from millrace.functions.countries import CODES
-from millrace.functions.rules import promised_days
+from millrace.functions.rules import PROMISED_DAYS
 from millrace.jobs.base import (
     NOT_EMPTY,
     Store,
@@ -22,6 +20,7 @@ from millrace.jobs.base import (
     known,
     never_null,
     pattern,
+    rule,
     unique,
 )
 from millrace.plans import accounts, country, customers, procurement, shipping
@@ -94,12 +93,14 @@ def carrier_sla(store: Store) -> None:
     """
     feed = store.read("sd_carrier_feed")
     shipments = store.publish(
-        "sd_shipments", shipping.shipments_silver(feed), never_null("weight_kg")
+        "sd_shipments",
+        shipping.shipments_silver(feed),
+        never_null("weight_kg"),
+        exact_rows(feed.count()),
+        rule("transit_days IS NULL OR transit_days >= 0"),
+        known("carrier", list(PROMISED_DAYS)),
     )
-    require_same_count(shipments, feed)
     require_no_orphans(shipments, store.read("sd_warehouses"), ["warehouse_id"])
-    require_rule(shipments, "transit_days IS NULL OR transit_days >= 0")
-    require_known(shipments, "carrier", promised_days("carrier"))
     report = store.publish("sd_carrier_sla", shipping.carrier_sla(shipments))
     require_totals(
         report,

@@ -61,10 +61,11 @@ def _row_bytes(df: DataFrame) -> Column:
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure a table against both limits. Reads at most `max_rows` + 1 rows of it (an action)."""
+    """Measure a table against both limits (an action). At most `max_rows` + 1 rows are counted, of which
+    only the sizes are gathered."""
     measured = (
-        df.limit(max_rows + 1)
-        .select(_row_bytes(df).alias("b"))
+        df.select(_row_bytes(df).alias("b"))
+        .limit(max_rows + 1)
         .agg(F.count("*").alias("rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))
         .first()
     )

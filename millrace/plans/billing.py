@@ -37,6 +37,7 @@ AGE_BUCKETS = [
     ("bucket_90_plus_usd", 90, None),
 ]
 
+# Columns of the published tables, in order.
 SUBSCRIPTION_COLUMNS = [
     "subscription_id",
     "account_id",

@@ -11,6 +11,7 @@ from millrace.checks.gates import require_known
 from millrace.functions.countries import iso_country
 from millrace.functions.money import mean_decimal
 
+# Columns of the published tables, in order.
 CUSTOMER_COLUMNS = ["customer_id", "customer_name", "country", "signed_up_on"]
 ORDER_COLUMNS = ["order_id", "customer_id", "ordered_on", "amount", "country"]
 CUSTOMER_COLUMNS_V2 = [

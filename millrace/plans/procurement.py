@@ -18,6 +18,7 @@ from millrace.operators.joins import enrich
 from millrace.operators.keyed import first_per_trimmed_key
 from millrace.operators.skew import enrich_hot
 
+# Columns of the published tables, in order.
 SUPPLIER_COLUMNS = [
     "supplier_id",
     "supplier_name",

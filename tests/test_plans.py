@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from millrace.plans import accounts, billing, country, customers, orders, procurement, products
 from millrace.plans import reconcile, sales, shipping
 
+# Columns of the raw feeds.
 ACCOUNTS = "account_id string, account_name string, country string, industry string, signup_date string"
 PLANS = (
     "plan_id string, plan_name string, tier string, billing_period string, list_price string, currency string"
