@@ -84,10 +84,8 @@ def _chunker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for position, k in enumerate(places):
                     chunk = b"" if k is None else whole[starts[k] : ends[k]]
                     row = rows.setdefault((0 if k is None else int(address[k]), chunk), [[], [], [], []])
-                    for into, value in zip(row, (doc_id, sha if position == 0 else None, position, copies[doc_id, sha]), strict=True):
+                    for into, value in zip(row, (doc_id, sha, position, copies[doc_id, sha]), strict=True):
                         into.append(value)
-                    if position:
-                        row[1][-1] = sha
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [

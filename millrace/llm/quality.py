@@ -59,10 +59,8 @@ def _repeats(keys: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarra
     """Per text: distinct keys, and the count of its most frequent key."""
     if not len(keys):
         return np.zeros(texts), np.zeros(texts)
-    own, at, count = np.unique(
-        blocks.mix(keys + blocks.mix(owner.astype(np.uint64))), return_index=True, return_counts=True
-    )
-    del own
+    own = blocks.mix(keys + blocks.mix(owner.astype(np.uint64)))
+    _, at, count = np.unique(own, return_index=True, return_counts=True)
     distinct = np.bincount(owner[at], minlength=texts).astype(float)
     top = np.zeros(texts)
     np.maximum.at(top, owner[at], count)

@@ -88,4 +88,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of a text, its A-Z lower-cased or not.
+_WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": f"""
+    WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+    windows AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS key
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w)),
+    later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY key ORDER BY doc_id, p) AS n
+      FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS k FROM later),
+    words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS word FROM w)
+    SELECT w.doc_id, CAST(count(words.k) AS BIGINT) AS n_words, CAST(count(gone.k) AS BIGINT) AS n_removed,
+      sha256(coalesce(string_agg(word, ' ' ORDER BY words.k) FILTER (WHERE gone.k IS NULL), '')) AS kept_sha256
+    FROM w LEFT JOIN words ON words.doc_id = w.doc_id
+      LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY w.doc_id""",
+    "op7_jaccard_join": f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, key FROM (
+      SELECT doc_id, array_to_string(ws[p:p + 2], ' ') AS key
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w WHERE len(ws) >= 3)
+      UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 2)),
+    n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.key = b.key AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+      WHERE 100 * common >= 90 * (nx.size + ny.size - common)),
+    edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+    reach AS (SELECT doc_id, doc_id AS root FROM documents UNION
+      SELECT edges.y, reach.root FROM reach JOIN edges ON edges.x = reach.doc_id)
+    SELECT d.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, r.component_id
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+      JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id""",
+    "op8_exact_dedup": """
+    WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents),
+    groups AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain.t) AS text_sha256
+    FROM plain JOIN groups ON plain.t = groups.t""",
+}
