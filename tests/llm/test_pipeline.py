@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import leaks, quality
-from millrace.llm.queries import QUERIES, vocabulary
+from millrace.llm.queries import ORACLES, QUERIES, vocabulary
 from tests.llm import fixtures
+from tools.compare import compare, connect
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +105,8 @@ def test_every_query_returns_its_contract(spark):
         out = QUERIES[name](spark, fixtures.SMALL)
         assert dict(out.dtypes) == columns, name
         assert (out.count() == rows) or name == "op4_packing"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    assert compare(spark, connect(fixtures.SMALL), fixtures.SMALL, name) == []
