@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks
 from millrace.llm.components import connected_components
-from millrace.llm.repeats import grouped
+from millrace.llm.repeats import dealt, grouped, keyed
 from millrace.llm.rows import drop_rows
 from millrace.sinks.scratch import scratch_path
 
@@ -83,22 +83,16 @@ def _describe(words: int):
     return describe
 
 
-def _residual(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A shingle's bucket, and 32 further bits of it.
-
-    Shingles that agree in both are counted as one. That makes a few look less rare than they are, for all
-    documents alike, so the common order stays one and no link is lost.
-    """
-    return (grams % np.uint64(buckets)).astype(np.int64), (grams // np.uint64(buckets)).astype(np.uint32)
-
-
 def _send_shingles(words: int, buckets: int):
+    """Shingles as bucket and 32 further bits: those that agree count as one, for all documents alike. A few
+    look less rare than they are; the order stays one for all, so no link is lost."""
+
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            bucket, residual = _residual(np.concatenate(held), buckets)
+            bucket, residual = dealt(np.concatenate(held), buckets)
             part = np.concatenate(parts)
             held.clear(), parts.clear()
             order = np.argsort(bucket * (int(part.max()) + 1) + part, kind="stable")
@@ -153,7 +147,7 @@ def _deal_rarest(words: int, percent: int, buckets: int):
         schema = pa.schema([("bucket", pa.int32()), ("marks", pa.binary()), ("docs", pa.binary())])
         known, ranks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for row in answers.to_pylist():
-            known.append(np.frombuffer(row["shingles"], np.uint32).astype(np.uint64) + (np.uint64(row["bucket"]) << np.uint64(32)))
+            known.append(keyed(row["bucket"], np.frombuffer(row["shingles"], np.uint32)))
             ranks.append(np.frombuffer(row["ranks"], np.uint8))
         known, ranks = np.concatenate(known), np.concatenate(ranks)
         order = np.argsort(known)
@@ -165,8 +159,7 @@ def _deal_rarest(words: int, percent: int, buckets: int):
         marks, docs = [], []
         for lo, hi, data, offsets in blocks.blocks(texts.column("text")):
             grams, bounds = shingle_sets(data, offsets, words)
-            bucket, residual = _residual(grams, buckets)
-            key = residual.astype(np.uint64) + (bucket.astype(np.uint64) << np.uint64(32))
+            key = keyed(*dealt(grams, buckets))
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             rank = np.where(known[at] == key, ranks[at], 0)
             sizes = np.diff(bounds)
@@ -334,8 +327,8 @@ def _cells(members: DataFrame, lot: int) -> DataFrame:
         F.sequence(F.lit(0), F.col("lots") - 1),
         lambda k: F.least(k, F.col("own")) * F.col("lots") + F.greatest(k, F.col("own")),
     )
-    dealt = members.join(sizes, "cluster").withColumn("own", own)
-    return dealt.select("doc_id", "cluster", "lots", F.explode(F.when(F.col("lots") == 1, F.array(F.lit(0))).otherwise(pair)).alias("cell"))
+    placed = members.join(sizes, "cluster").withColumn("own", own)
+    return placed.select("doc_id", "cluster", "lots", F.explode(F.when(F.col("lots") == 1, F.array(F.lit(0))).otherwise(pair)).alias("cell"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, lot: int = LOT) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from millrace.llm import blocks
 
 FLUSH = 1_000_000
+#: A shard is indexed in so many slices of its anchors.
+SLICES = 8
 #: Documents without doc_id come after all others.
 NO_ID = 2**63 - 1
 #: A place is the number of a text among those of its doc_id, and the symbol in that text.
@@ -79,6 +81,11 @@ class Runs:
         return Runs(*(getattr(self, f.name)[which] for f in dataclasses.fields(self)))
 
 
+def contents(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of symbols, wherever they stand."""
+    return blocks.span_hash(blocks.prefix_sums(symbols.astype(np.uint64) + np.uint64(1)), starts, starts + lengths)
+
+
 def find_runs(rules: Rules, symbols: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> Runs:
     n, window = len(symbols), rules.window
     none = np.zeros(0, np.int64)
@@ -96,8 +103,7 @@ def find_runs(rules: Rules, symbols: np.ndarray, grams: np.ndarray, bounds: np.n
     place = np.flatnonzero(valid)
     at = np.searchsorted(place, start)
     windows = np.diff(np.append(at, len(place)))
-    sums = blocks.prefix_sums(symbols.astype(np.uint64) + np.uint64(1))
-    content = blocks.span_hash(sums, start, start + windows + window - 1)
+    content = contents(symbols, start, windows + window - 1)
     text = np.searchsorted(bounds, start, side="right") - 1
     return Runs(start, windows, least[start], content, text)
 
@@ -139,15 +145,29 @@ def _text_blocks(rules: Rules, texts: pa.Table) -> Iterator[tuple]:
         yield order[lo:hi], ordered[lo:hi], number[lo:hi], data, offsets, symbols, bounds, runs
 
 
+def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each hash, and 32 further bits of it: enough to tell most hashes of a bucket apart.
+
+    Hashes that agree in both are taken for one. That is harmless where it only widens a choice, the same way
+    everywhere.
+    """
+    return (hashes % np.uint64(buckets)).astype(np.int64), (hashes // np.uint64(buckets)).astype(np.uint32)
+
+
+def keyed(bucket: np.ndarray | int, residual: np.ndarray) -> np.ndarray:
+    """Bucket and residual as one number."""
+    return (np.asarray(bucket).astype(np.uint64) << np.uint64(32)) + residual.astype(np.uint64)
+
+
 def _send_anchors(rules: Rules, buckets: int):
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            anchor, part = np.concatenate(held), np.concatenate(parts)
+            bucket, anchor = dealt(np.concatenate(held), buckets)
+            part = np.concatenate(parts)
             held.clear(), parts.clear()
-            bucket = (anchor % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((anchor, part, bucket))
             anchor, part, bucket = anchor[order], part[order], bucket[order]
             same = (anchor[1:] == anchor[:-1]) & (part[1:] == part[:-1])
@@ -195,11 +215,11 @@ def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]]
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: to each part its anchors that are not unique."""
     for rows in grouped(batches, "bucket"):
-        lists = [np.frombuffer(r["anchors"], np.uint64) for r in rows]
+        lists = [np.frombuffer(r["anchors"], np.uint32) for r in rows]
         every = np.concatenate(lists)
         owner = np.repeat([r["part"] for r in rows], [len(x) for x in lists])
         values, counts = np.unique(every, return_counts=True)
-        twice = np.concatenate([values[counts > 1], *[np.frombuffer(r["twice"], np.uint64) for r in rows]])
+        twice = np.concatenate([values[counts > 1], *[np.frombuffer(r["twice"], np.uint32) for r in rows]])
         keep = np.isin(every, twice)
         every, owner = every[keep], owner[keep]
         order = np.argsort(owner, kind="stable")
@@ -208,49 +228,54 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(parts):
             cut = np.append(begin, len(owner)).tolist()
             blobs = [every[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "anchors"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts, pa.int32()), pa.array([rows[0]["bucket"]] * len(parts), pa.int32()), pa.array(blobs, pa.binary())],
+                ["part", "bucket", "anchors"],
+            )
 
 
-RUNS = "shard int, part int, content binary, doc binary, place binary, windows binary, more binary, symbols binary"
+RUNS = "shard int, part int, doc binary, place binary, windows binary, more binary, cuts binary, symbols binary"
 
 
-def _send_runs(rules: Rules, shards: int):
+def _send_runs(rules: Rules, buckets: int, shards: int):
     def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
         names = [c.split()[0] for c in RUNS.split(", ")]
         rows: list[tuple] = []
-        wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a, np.uint64) for a in answers.column("anchors").to_pylist()]]))
+        lists = [keyed(r["bucket"], np.frombuffer(r["anchors"], np.uint32)) for r in answers.to_pylist()]
+        wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *lists]))
         if not len(wanted) or not texts.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
         part = texts.column("part")[0].as_py()
         found: list[tuple] = []
         held: list[np.ndarray] = []
         for _, keys, number, _, _, symbols, bounds, runs in _text_blocks(rules, texts):
-            at = np.searchsorted(wanted, runs.anchor)
-            at[at == len(wanted)] = 0
-            runs = runs.take(np.flatnonzero(wanted[at] == runs.anchor))
+            key = keyed(*dealt(runs.anchor, buckets))
+            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+            runs = runs.take(np.flatnonzero(wanted[at] == key))
             _, one, count = np.unique(runs.content, return_index=True, return_counts=True)
-            runs, length = runs.take(one), None
-            length = runs.windows + rules.window - 1
+            runs = runs.take(one)
             place = (number[runs.text] << TEXT_SHIFT) + runs.start - bounds[runs.text]
             found.append((runs.content, keys[runs.text], place, runs.windows, count, runs.anchor))
-            held.append(symbols[slices(runs.start, length)])
+            held.append(symbols[slices(runs.start, runs.windows + rules.window - 1)])
         content, doc, place, windows, count, anchor = (np.concatenate([f[k] for f in found]) for k in range(6))
         symbols = np.concatenate(held)
         # Blocks come in order of doc_id, so of equal runs the first stands for all.
         _, one, which = np.unique(content, return_index=True, return_inverse=True)
         more = np.bincount(which, weights=count).astype(np.int64) > 1
         begin = np.cumsum(windows + rules.window - 1) - (windows + rules.window - 1)
-        shard = ((anchor[one] >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        one, more, shard = one[order], more[order], shard[order]
-        cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if y > x:
-                own = one[x:y]
+        cell = ((anchor[one] >> np.uint64(17)) % np.uint64(shards * SLICES)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        one, more, cell = one[order], more[order], cell[order]
+        edges = np.searchsorted(cell, np.arange(shards * SLICES + 1))
+        for shard in range(shards):
+            cuts = edges[shard * SLICES : (shard + 1) * SLICES + 1]
+            own = one[cuts[0] : cuts[-1]]
+            if len(own):
                 rows.append(
-                    (int(shard[x]), part, content[own].tobytes(), doc[own].tobytes(), place[own].tobytes(), windows[own].astype(np.int32).tobytes(),
-                     more[x:y].astype(np.uint8).tobytes(), rules.pack(symbols[slices(begin[own], windows[own] + rules.window - 1)]))
+                    (shard, part, packed(doc[own]), packed(place[own]), packed(windows[own].astype(np.int32)),
+                     packed(more[cuts[0] : cuts[-1]].astype(np.uint8)), packed((cuts - cuts[0]).astype(np.int32)),
+                     rules.pack(symbols[slices(begin[own], windows[own] + rules.window - 1)]))
                 )
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
@@ -261,65 +286,90 @@ def _send_runs(rules: Rules, shards: int):
 ANSWERS = "part int, content binary, first binary, last binary, doc binary, place binary"
 
 
+def _slices_of(rules: Rules, rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+    """A shard's runs, one slice of its anchors at a time, so that an index stays small."""
+    kinds = (("doc", np.int64), ("place", np.int64), ("windows", np.int32), ("more", np.uint8), ("cuts", np.int32))
+    read = [[unpacked(r[c], t) for c, t in kinds] for r in rows]
+    symbols = [rules.unpack(r["symbols"]) for r in rows]
+    ends = [np.concatenate([[0], np.cumsum(x[2].astype(np.int64) + rules.window - 1)]) for x in read]
+    for k in range(SLICES):
+        spans = [(x[4][k], x[4][k + 1]) for x in read]
+        if any(hi > lo for lo, hi in spans):
+            columns = [np.concatenate([x[c][lo:hi] for x, (lo, hi) in zip(read, spans, strict=True)]) for c in range(4)]
+            own = np.concatenate([s[e[lo] : e[hi]] for s, e, (lo, hi) in zip(symbols, ends, spans, strict=True)])
+            part = np.repeat([r["part"] for r in rows], [hi - lo for lo, hi in spans])
+            yield (*columns[:2], columns[2].astype(np.int64), columns[3].astype(bool), own, part)
+
+
 def _search_shard(rules: Rules):
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "shard"):
-            content, doc, place = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("content", np.uint64), ("doc", np.int64), ("place", np.int64)))
-            windows = np.concatenate([np.frombuffer(r["windows"], np.int32) for r in rows]).astype(np.int64)
-            more = np.concatenate([np.frombuffer(r["more"], np.uint8) for r in rows]).astype(bool)
-            symbols = np.concatenate([rules.unpack(r["symbols"]) for r in rows])
-            part = np.repeat([r["part"] for r in rows], [len(r["content"]) // 8 for r in rows])
-            length = windows + rules.window - 1
-            begin = np.cumsum(length) - length
-
-            # One copy of each run, in order of its first place in the corpus.
-            order = np.lexsort((place, doc))
-            _, first, which = np.unique(content[order], return_index=True, return_inverse=True)
-            rank = np.argsort(np.argsort(first))
-            kept = order[np.sort(first)]
-            run = np.empty(len(order), np.int64)
-            run[order] = rank[which]
-            copies = np.bincount(run)
-            size = length[kept]
-            text = symbols[slices(begin[kept], size)]
-            base = np.cumsum(size) - size
-            earliest = rules.earliest(text, base, windows[kept])
-
-            # Stretches of windows whose earliest places follow one another in one run.
-            own_window = np.repeat(np.arange(len(kept)), windows[kept])
-            source = np.searchsorted(base, earliest, side="right") - 1
-            begins = np.ones(len(earliest), bool)
-            begins[1:] = (own_window[1:] != own_window[:-1]) | (source[1:] != source[:-1]) | (earliest[1:] != earliest[:-1] + 1)
-            at = np.flatnonzero(begins)
-            span = np.diff(np.append(at, len(earliest)))
-            own, source = own_window[at], source[at]
-            first_window = at - (np.cumsum(windows[kept]) - windows[kept])[own]
-            from_doc = doc[kept][source]
-            from_place = place[kept][source] + earliest[at] - base[source]
-            stretches = np.bincount(own, minlength=len(kept))
-            head = np.cumsum(stretches) - stretches
-            # Runs that stand once in the corpus, each window being the first, need no answer.
-            alone = np.bincount(own, weights=(source != own), minlength=len(kept)) == 0
-            alone &= (copies == 1) & (stretches == 1)
-            answer = np.flatnonzero(~alone[run] | more)
-            answer = answer[np.argsort(part[answer], kind="stable")]
-            parts, cut = np.unique(part[answer], return_index=True)
-            for p, x, y in zip(parts.tolist(), cut.tolist(), [*cut[1:].tolist(), len(answer)], strict=True):
-                mine = answer[x:y]
-                picked = slices(head[run[mine]], stretches[run[mine]])
-                columns = (np.repeat(content[mine], stretches[run[mine]]), first_window[picked], first_window[picked] + span[picked], from_doc[picked], from_place[picked])
+            # One answer to each part, from all slices.
+            answers: dict[int, list[tuple[np.ndarray, ...]]] = {}
+            for own in _slices_of(rules, rows):
+                for part, columns in _answers(rules, *own):
+                    answers.setdefault(part, []).append(columns)
+            for part, found in answers.items():
+                columns = (np.concatenate([f[k] for f in found]) for k in range(5))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]],
+                    [pa.array([part], pa.int32()), *[pa.array([packed(c)], pa.binary()) for c in columns]],
                     [c.split()[0] for c in ANSWERS.split(", ")],
                 )
 
     return search
 
 
+def _answers(
+    rules: Rules, doc: np.ndarray, place: np.ndarray, windows: np.ndarray, more: np.ndarray, symbols: np.ndarray, part: np.ndarray
+) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """For each part the stretches of its runs, from an index of the distinct runs given."""
+    length = windows + rules.window - 1
+    begin = np.cumsum(length) - length
+    content = contents(symbols, begin, length)
+
+    # One copy of each run, in order of its first place in the corpus.
+    order = np.lexsort((place, doc))
+    _, first, which = np.unique(content[order], return_index=True, return_inverse=True)
+    rank = np.argsort(np.argsort(first))
+    kept = order[np.sort(first)]
+    run = np.empty(len(order), np.int64)
+    run[order] = rank[which]
+    copies = np.bincount(run)
+    size = length[kept]
+    text = symbols[slices(begin[kept], size)]
+    base = np.cumsum(size) - size
+    earliest = rules.earliest(text, base, windows[kept])
+
+    # Stretches of windows whose earliest places follow one another in one run.
+    own_window = np.repeat(np.arange(len(kept)), windows[kept])
+    source = np.searchsorted(base, earliest, side="right") - 1
+    begins = np.ones(len(earliest), bool)
+    begins[1:] = (own_window[1:] != own_window[:-1]) | (source[1:] != source[:-1]) | (earliest[1:] != earliest[:-1] + 1)
+    at = np.flatnonzero(begins)
+    span = np.diff(np.append(at, len(earliest)))
+    own, source = own_window[at], source[at]
+    first_window = at - (np.cumsum(windows[kept]) - windows[kept])[own]
+    from_doc = doc[kept][source]
+    from_place = place[kept][source] + earliest[at] - base[source]
+    stretches = np.bincount(own, minlength=len(kept))
+    head = np.cumsum(stretches) - stretches
+    # Runs that stand once in the corpus, each window being the first, need no answer.
+    alone = np.bincount(own, weights=(source != own), minlength=len(kept)) == 0
+    alone &= (copies == 1) & (stretches == 1)
+    answer = np.flatnonzero(~alone[run] | more)
+    answer = answer[np.argsort(part[answer], kind="stable")]
+    parts, cut = np.unique(part[answer], return_index=True)
+    for p, x, y in zip(parts.tolist(), cut.tolist(), [*cut[1:].tolist(), len(answer)], strict=True):
+        mine = answer[x:y]
+        picked = slices(head[run[mine]], stretches[run[mine]])
+        columns = (np.repeat(content[mine], stretches[run[mine]]), first_window[picked].astype(np.int32), (first_window[picked] + span[picked]).astype(np.int32), from_doc[picked], from_place[picked])
+        yield p, columns
+
+
 def _apply(rules: Rules, names: list[str], schema: pa.Schema):
     def apply(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        kinds = (("content", np.uint64), ("first", np.int64), ("last", np.int64), ("doc", np.int64), ("place", np.int64))
-        content, first, last, doc, place = (np.concatenate([np.zeros(0, t), *[np.frombuffer(b, t) for b in answers.column(c).to_pylist()]]) for c, t in kinds)
+        kinds = (("content", np.uint64), ("first", np.int32), ("last", np.int32), ("doc", np.int64), ("place", np.int64))
+        content, first, last, doc, place = (np.concatenate([np.zeros(0, t), *[unpacked(b, t) for b in answers.column(c).to_pylist()]]) for c, t in kinds)
         order = np.argsort(content, kind="stable")
         content, first, last, doc, place = (x[order] for x in (content, first, last, doc, place))
         out: list[pa.Table] = []
@@ -353,14 +403,14 @@ def repeat_results(docs: DataFrame, rules: Rules) -> DataFrame:
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(shuffles, 2 * wanted.rdd.getNumPartitions())
-    buckets, shards = parts, 8 * parts
+    buckets = shards = parts
     # Parts as numbers of their own, so that hashing them again for the shuffle keeps them whole.
     texts = wanted.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).repartition(parts, "part")
 
     anchors = texts.mapInArrow(_send_anchors(rules, buckets), "bucket int, part int, anchors binary, twice binary")
-    dealt = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    repeated = dealt.mapInArrow(_repeated, "part int, anchors binary").repartition(parts, "part")
-    runs = texts.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_runs(rules, shards), RUNS)
+    gathered = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    repeated = gathered.mapInArrow(_repeated, "part int, bucket int, anchors binary").repartition(parts, "part")
+    runs = texts.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_runs(rules, buckets, shards), RUNS)
     placed = runs.repartition(parts, "shard").sortWithinPartitions("shard")
     answers = placed.mapInArrow(_search_shard(rules), ANSWERS).repartition(parts, "part")
     schema = f"doc_id long, {rules.result_schema}"
@@ -370,6 +420,14 @@ def repeat_results(docs: DataFrame, rules: Rules) -> DataFrame:
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_apply(rules, names, arrow), schema)
 
 
+def packed(values: np.ndarray) -> bytes:
+    return compressed(np.ascontiguousarray(values).tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(restored(data), kind)
+
+
 def compressed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
