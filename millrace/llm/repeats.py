@@ -3,6 +3,9 @@
 A window's anchor is the least hash of its short grams, so equal windows have equal anchors. Consecutive
 windows of a text with one anchor form a run. Work is dealt out by anchor:
 
+0. Anchors with many distinct runs are counted, on a sample of the runs. A passage in many documents makes
+   them at its ends, where each document goes on differently. With such a hot anchor every window is a run of its
+   own, and its anchor is the hash of the whole window: equal windows still agree, others part.
 1. Texts are dealt into parts by a hash of their doc_id. Each part sends the hashes of its anchors, dealt
    into buckets; a bucket answers each part with the anchors that are not unique.
 2. Each part sends its runs with such anchors to the shard of the anchor, each distinct run once, with its
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 from millrace.llm import blocks
 
 FLUSH = 1_000_000
+#: An anchor with about so many distinct runs is hot.
+HOT_RUNS = 10_000
+#: Of the runs of an anchor that just counts as hot, about so many are in the sample.
+HOT_SAMPLE = 128
 #: A shard is indexed in so many slices of its anchors.
 SLICES = 8
 #: Documents without doc_id come after all others.
@@ -86,7 +93,8 @@ def contents(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return blocks.span_hash(blocks.prefix_sums(symbols.astype(np.uint64) + np.uint64(1)), starts, starts + lengths)
 
 
-def find_runs(rules: Rules, symbols: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> Runs:
+def find_runs(rules: Rules, symbols: np.ndarray, grams: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> Runs:
+    """The runs of a block; `hot` are the hot anchors, ascending."""
     n, window = len(symbols), rules.window
     none = np.zeros(0, np.int64)
     if n < window:
@@ -103,9 +111,51 @@ def find_runs(rules: Rules, symbols: np.ndarray, grams: np.ndarray, bounds: np.n
     place = np.flatnonzero(valid)
     at = np.searchsorted(place, start)
     windows = np.diff(np.append(at, len(place)))
+    anchor = least[start]
+    split = member(anchor, hot)
+    if split.any():
+        each = np.where(split, windows, 1)
+        start, anchor = slices(start, each), np.repeat(anchor, each)
+        windows, split = np.repeat(np.where(split, 1, windows), each), np.repeat(split, each)
     content = contents(symbols, start, windows + window - 1)
+    anchor[split] = blocks.mix(content[split])
     text = np.searchsorted(bounds, start, side="right") - 1
-    return Runs(start, windows, least[start], content, text)
+    return Runs(start, windows, anchor, content, text)
+
+
+def member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending ones."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def _sample_runs(rules: Rules, rate: int):
+    """Anchor and content of one in `rate` distinct runs, the same ones wherever they stand."""
+    none = np.zeros(0, np.uint64)
+
+    def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in blocks.blocks(batch.column(0)):
+                runs = find_runs(rules, *rules.symbols(data, offsets), none)
+                content = blocks.mix(runs.content)
+                drawn = np.flatnonzero(content % np.uint64(rate) == 0)
+                _, one = np.unique(content[drawn], return_index=True)
+                drawn = drawn[one]
+                yield pa.RecordBatch.from_arrays([pa.array(x[drawn].view(np.int64)) for x in (runs.anchor, content)], ["anchor", "content"])
+
+    return sample
+
+
+def hot_anchors(docs: DataFrame, rules: Rules, runs: int) -> np.ndarray:
+    """Anchors of about `runs` distinct runs or more, ascending: at most one for so many runs of the corpus.
+
+    Which anchors are taken only decides how work is dealt out.
+    """
+    rate = max(1, runs // HOT_SAMPLE)
+    drawn = docs.select("text").mapInArrow(_sample_runs(rules, rate), "anchor long, content long").distinct()
+    found = drawn.groupBy("anchor").count().where(F.col("count") * rate >= runs).select("anchor").toArrow()
+    return np.sort(found.column("anchor").combine_chunks().to_numpy().view(np.uint64))
 
 
 def slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -120,7 +170,7 @@ def _anchors_within(rules: Rules, grams: np.ndarray, runs: Runs) -> np.ndarray:
     return np.bincount(own[grams[slices(runs.start, lengths)] == runs.anchor[own]], minlength=len(lengths))
 
 
-def _text_blocks(rules: Rules, texts: pa.Table) -> Iterator[tuple]:
+def _text_blocks(rules: Rules, texts: pa.Table, hot: np.ndarray) -> Iterator[tuple]:
     """A part's texts in order of doc_id (equal ones by text), in blocks with their runs.
 
     Yields row order, doc keys, number of each text within its doc_id, bytes, offsets, bounds and runs.
@@ -141,7 +191,7 @@ def _text_blocks(rules: Rules, texts: pa.Table) -> Iterator[tuple]:
     column = column.take(pa.array(order))
     for lo, hi, data, offsets in blocks.blocks(column):
         symbols, grams, bounds = rules.symbols(data, offsets)
-        runs = find_runs(rules, symbols, grams, bounds)
+        runs = find_runs(rules, symbols, grams, bounds, hot)
         yield order[lo:hi], ordered[lo:hi], number[lo:hi], data, offsets, symbols, bounds, runs
 
 
@@ -159,7 +209,7 @@ def keyed(bucket: np.ndarray | int, residual: np.ndarray) -> np.ndarray:
     return (np.asarray(bucket).astype(np.uint64) << np.uint64(32)) + residual.astype(np.uint64)
 
 
-def _send_anchors(rules: Rules, buckets: int):
+def _send_anchors(rules: Rules, buckets: int, hot: np.ndarray):
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         parts: list[np.ndarray] = []
@@ -183,7 +233,7 @@ def _send_anchors(rules: Rules, buckets: int):
             part = batch.column(2).to_numpy()
             for lo, hi, data, offsets in blocks.blocks(batch.column(1)):
                 symbols, grams, bounds = rules.symbols(data, offsets)
-                runs = find_runs(rules, symbols, grams, bounds)
+                runs = find_runs(rules, symbols, grams, bounds, hot)
                 held.append(runs.anchor)
                 parts.append(part[lo:hi][runs.text])
                 if rules.within_document:  # a run may repeat a window within itself: then it counts twice
@@ -237,7 +287,7 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RUNS = "shard int, part int, doc binary, place binary, windows binary, more binary, cuts binary, symbols binary"
 
 
-def _send_runs(rules: Rules, buckets: int, shards: int):
+def _send_runs(rules: Rules, buckets: int, shards: int, hot: np.ndarray):
     def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
         names = [c.split()[0] for c in RUNS.split(", ")]
@@ -249,7 +299,7 @@ def _send_runs(rules: Rules, buckets: int, shards: int):
         part = texts.column("part")[0].as_py()
         found: list[tuple] = []
         held: list[np.ndarray] = []
-        for _, keys, number, _, _, symbols, bounds, runs in _text_blocks(rules, texts):
+        for _, keys, number, _, _, symbols, bounds, runs in _text_blocks(rules, texts, hot):
             key = keyed(*dealt(runs.anchor, buckets))
             at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             runs = runs.take(np.flatnonzero(wanted[at] == key))
@@ -366,14 +416,14 @@ def _answers(
         yield p, columns
 
 
-def _apply(rules: Rules, names: list[str], schema: pa.Schema):
+def _apply(rules: Rules, names: list[str], schema: pa.Schema, hot: np.ndarray):
     def apply(texts: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = (("content", np.uint64), ("first", np.int32), ("last", np.int32), ("doc", np.int64), ("place", np.int64))
         content, first, last, doc, place = (np.concatenate([np.zeros(0, t), *[unpacked(b, t) for b in answers.column(c).to_pylist()]]) for c, t in kinds)
         order = np.argsort(content, kind="stable")
         content, first, last, doc, place = (x[order] for x in (content, first, last, doc, place))
         out: list[pa.Table] = []
-        for rows, keys, number, data, offsets, symbols, bounds, runs in _text_blocks(rules, texts):
+        for rows, keys, number, data, offsets, symbols, bounds, runs in _text_blocks(rules, texts, hot):
             lo = np.searchsorted(content, runs.content, side="left")
             many = np.searchsorted(content, runs.content, side="right") - lo
             which = np.repeat(np.arange(len(lo)), many)
@@ -404,20 +454,21 @@ def repeat_results(docs: DataFrame, rules: Rules) -> DataFrame:
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(shuffles, 2 * wanted.rdd.getNumPartitions())
     buckets = shards = parts
+    hot = hot_anchors(wanted, rules, HOT_RUNS)
     # Parts as numbers of their own, so that hashing them again for the shuffle keeps them whole.
     texts = wanted.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).repartition(parts, "part")
 
-    anchors = texts.mapInArrow(_send_anchors(rules, buckets), "bucket int, part int, anchors binary, twice binary")
+    anchors = texts.mapInArrow(_send_anchors(rules, buckets, hot), "bucket int, part int, anchors binary, twice binary")
     gathered = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     repeated = gathered.mapInArrow(_repeated, "part int, bucket int, anchors binary").repartition(parts, "part")
-    runs = texts.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_runs(rules, buckets, shards), RUNS)
+    runs = texts.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_runs(rules, buckets, shards, hot), RUNS)
     placed = runs.repartition(parts, "shard").sortWithinPartitions("shard")
     answers = placed.mapInArrow(_search_shard(rules), ANSWERS).repartition(parts, "part")
     schema = f"doc_id long, {rules.result_schema}"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string()}
     arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_apply(rules, names, arrow), schema)
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_apply(rules, names, arrow, hot), schema)
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -18,6 +18,7 @@ from millrace.llm import (
     licences,
     packing,
     quality,
+    repeats,
     substring,
     suffixes,
     token_counts,
@@ -244,6 +245,30 @@ def test_substrings_of_null_and_repeated_ids(spark):
     assert found == [(-1, size, size), (4, size, 0), (4, size, 0), (7, 0, 0)]
 
 
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_a_passage_in_many_documents_is_dealt_to_many_tasks(spark, monkeypatch, tmp_path, kind):
+    import dataclasses
+    import uuid
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = " ".join(word() for _ in range(45))
+    texts = [(i, " ".join([*(word() for _ in range(25)), passage, *(word() for _ in range(25))])) for i in range(600)]
+    texts += [(1000 + i, texts[i][1]) for i in range(0, 600, 20)]  # whole copies repeat the ends too
+    monkeypatch.setattr(repeats, "HOT_RUNS", 100, raising=False)
+    own, folder = (substring.rules(20) if kind == "words" else suffixes.rules(50)), str(tmp_path)
+
+    def earliest(symbols, starts, windows):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(starts)))
+        return own.earliest(symbols, starts, windows)
+
+    out = by_id(repeats.repeat_results(table(spark, texts), dataclasses.replace(own, earliest=earliest)))
+    assert out == (fixtures.kept_words(texts, 20) if kind == "words" else fixtures.kept_bytes(texts, 50))
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert max(sizes) < 400
+
+
 def test_leaks_are_found_within_the_edit_budget(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
