@@ -363,6 +363,24 @@ def test_licences_of_lines(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_in_other_words(spark):
+    wanted = [
+        ("The MIT License (MIT)", "MIT"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD"), ("Distributed under the terms of the MIT license.", "MIT"),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GPL-3.0"), ("MIT License", "MIT"), ("Licensed under MIT", "MIT"),
+        ("This tool is distributed under the GNU Affero General Public License v3", "AGPL-3.0"), ("The code is available under the ISC license", "ISC"),
+        ("Published under the Eclipse Public License", "EPL-2.0"), ("All data here is released under CC0", "CC0-1.0"), ("License: GPLv2", "GPL-2.0"),
+        ("The package is licensed under the terms of the Apache License 2.0", "Apache-2.0"), ("This is free and unencumbered software released into the public domain", "Unlicense"),
+        ("Our library may be used in accordance with the GNU Lesser General Public License", "LGPL"), ("Text licensed under CC BY-SA 3.0", "CC-BY-SA"),
+        ('The software is provided "as is", without warranty of any kind, express or implied', "MIT"),
+        ("In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary damages", "BSD"),
+    ]
+    others = ["They studied at MIT and moved to Boston.", "A licence to fish is sold in the shop under the bridge.", "Apache helicopters were released in the film.", "The book was published by the museum."]
+    texts = list(enumerate([t for t, _ in wanted] + others))
+    model = licences.fit_licences(spark.read.parquet(f"{fixtures.SMALL}/documents.parquet"))
+    out = licences.find_licences(table(spark, texts), model)
+    assert {r["doc_id"]: r["family"] for r in out.collect()} == {i: f for i, (_, f) in enumerate(wanted)}
+
+
 def test_licence_lines_of_the_test_documents(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
