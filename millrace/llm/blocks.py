@@ -66,13 +66,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _ladder(base: int, n: int) -> np.ndarray:
+    """The first `n` powers modulo 2**64."""
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64, out=steps)
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """`n` powers and inverse powers at least. Those of one block stay; a longer text has its own, for a while."""
     global _powers, _inverses
+    if n > BLOCK_BYTES + 1:
+        return _ladder(_BASE, n), _ladder(pow(_BASE, -1, 2**64), n)
     if len(_powers) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        inverse = pow(_BASE, -1, 2**64)
-        _powers = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)], dtype=np.uint64)
-        _inverses = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, inverse, np.uint64)], dtype=np.uint64)
+        _powers, _inverses = _ladder(_BASE, BLOCK_BYTES + 1), _ladder(pow(_BASE, -1, 2**64), BLOCK_BYTES + 1)
     return _powers, _inverses
 
 
@@ -100,7 +107,9 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans `starts[i]:ends[i]`; equal bytes have equal hashes."""
-    return mix((sums[ends] - sums[starts]) * _inverses[starts])
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    return mix((sums[ends] - sums[starts]) * _tables(len(sums))[1][starts])
 
 
 def gram_hash(words: np.ndarray, n: int) -> np.ndarray:

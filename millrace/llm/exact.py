@@ -63,7 +63,7 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _chunker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each distinct chunk of a group of blocks once, with the documents and places it stands at."""
     for batch in batches:
-        for lo, hi, raw, raw_offsets in blocks.blocks(batch.column(1), 8 << 20):
+        for lo, hi, raw, raw_offsets in blocks.blocks(batch.column(1)):
             data, offsets = normalise(raw, raw_offsets)
             keys = batch.column(0).slice(lo, hi - lo)
             whole = data.tobytes()

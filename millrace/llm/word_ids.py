@@ -14,7 +14,7 @@ import numpy as np
 
 from millrace.llm import blocks
 
-MEMO_WORDS = 3_000_000
+MEMO_WORDS = 1_000_000
 
 
 class WordIds:
