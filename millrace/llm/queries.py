@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import (
     exact,
     jaccard,
+    languages,
     leaks,
     licences,
     packing,
@@ -75,6 +77,14 @@ def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(documents(spark, folder), benchmark)
 
 
+def op11_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    dictionaries = languages.fit_dictionaries(docs.where(~held_out))
+    scored = languages.identify_languages(docs, dictionaries)
+    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -86,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op10_leaks": op10_leaks,
     "op8_exact_dedup": op8_exact_dedup,
+    "op11_languages": op11_languages,
 }
 
 #: Words of a text, its A-Z lower-cased or not.
