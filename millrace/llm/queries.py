@@ -15,6 +15,7 @@ from millrace.llm import (
     licences,
     packing,
     quality,
+    ranked,
     substring,
     suffixes,
     token_counts,
@@ -85,6 +86,10 @@ def op11_languages(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op12_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.ranked_search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -97,12 +102,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_leaks": op10_leaks,
     "op8_exact_dedup": op8_exact_dedup,
     "op11_languages": op11_languages,
+    "op12_ranked": op12_ranked,
 }
 
 #: Words of a text, its A-Z lower-cased or not.
 _WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = "regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": f"""
     WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
@@ -138,4 +146,16 @@ ORACLES: dict[str, str] = {
     groups AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t)
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain.t) AS text_sha256
     FROM plain JOIN groups ON plain.t = groups.t""",
+    "op12_ranked": f"""
+    WITH terms AS (SELECT doc_id, {_TERMS.format(text=_LOWER)} AS ws FROM documents),
+    postings AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM terms) GROUP BY doc_id, w),
+    sizes AS (SELECT doc_id, len(ws) AS n FROM terms),
+    total AS (SELECT count(*) FILTER (WHERE n > 0) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+    wanted AS (SELECT DISTINCT item_id, unnest({_TERMS.format(text=_LOWER)}) AS w FROM benchmark),
+    weights AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM postings, total GROUP BY w),
+    scores AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+      FROM wanted JOIN weights USING (w) JOIN postings USING (w) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id
+      ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0) WHERE place <= 10""",
 }
