@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
+    collocations,
     exact,
     jaccard,
     languages,
@@ -90,6 +91,10 @@ def op12_ranked(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.ranked_search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), k=10)
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder), longest=3, least=10, contained_percent=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op11_languages": op11_languages,
     "op12_ranked": op12_ranked,
+    "op13_collocations": op13_collocations,
 }
 
 #: Words of a text, its A-Z lower-cased or not.
@@ -158,4 +164,26 @@ ORACLES: dict[str, str] = {
       FROM wanted JOIN weights USING (w) JOIN postings USING (w) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id)
     SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id
       ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0) WHERE place <= 10""",
+    "op13_collocations": f"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    lists AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+    grams AS (
+      SELECT lang, unnest(ws) AS phrase, 1 AS size FROM lists UNION ALL
+      SELECT lang, array_to_string(ws[p:p + 1], ' '), 2 FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS p FROM lists) UNION ALL
+      SELECT lang, array_to_string(ws[p:p + 2], ' '), 3 FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS p FROM lists)),
+    f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM grams GROUP BY lang, phrase HAVING count(*) >= 10),
+    totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM lists GROUP BY lang),
+    cuts AS (SELECT f.lang, phrase, size, a, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+    scores AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r,
+        CAST((1000000 * CAST(c.a AS HUGEINT) * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+      FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(ws, 1, k), ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(ws, k + 1, c.size), ' ')),
+    lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    extended AS (SELECT lang, part, max(a) AS longer FROM (
+        SELECT lang, array_to_string(string_split(phrase, ' ')[1:2], ' ') AS part, a FROM f WHERE size = 3 UNION ALL
+        SELECT lang, array_to_string(string_split(phrase, ' ')[2:3], ' '), a FROM f WHERE size = 3) GROUP BY lang, part),
+    kept AS (SELECT lowest.* FROM lowest LEFT JOIN extended e ON e.lang = lowest.lang AND e.part = lowest.phrase
+      WHERE e.longer IS NULL OR 100 * e.longer < 50 * a)
+    SELECT kept.lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang
+      ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) AS kept JOIN totals USING (lang) WHERE rank <= 2000""",
 }
