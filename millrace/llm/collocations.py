@@ -27,6 +27,8 @@ from millrace.sinks.scratch import scratch_path
 UNKNOWN = "und"
 #: A chunk ends with the text that brings a task's held words to so many.
 CHUNK_WORDS = 3_000_000
+#: Before the best phrases of a language meet, they are picked in so many lots.
+LOTS = 64
 #: About so many phrases of a length are added up in one bucket.
 BUCKET_PHRASES = 4_000_000
 
@@ -322,9 +324,12 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, contained_p
     longer = extension_counts(grams).hint("merge")
     scored = cut_scores(grams).join(longer, "ids", "left")
     kept = scored.where(F.coalesce(100 * F.col("longer") < contained_percent * F.col("a"), F.lit(True)))
-    # Ties stay until the phrases are known.
-    near = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
-    best = _saved(kept.withColumn("near", near).where(F.col("near") <= top).drop("near", "longer"), "best_phrases")
+    # Ties stay until the phrases are known. The best of all are among the best of each lot.
+    order = (F.desc("score"), F.desc("a"))
+    lots = kept.withColumn("lot", F.pmod(F.xxhash64("ids"), F.lit(LOTS)))
+    picked = lots.withColumn("near", F.rank().over(Window.partitionBy("lang", "lot").orderBy(*order))).where(F.col("near") <= top)
+    near = F.rank().over(Window.partitionBy("lang").orderBy(*order))
+    best = _saved(picked.withColumn("near", near).where(F.col("near") <= top).drop("near", "lot", "longer"), "best_phrases")
     spelled = best.select("ids", F.posexplode("ids").alias("place", "id")).join(words, "id").groupBy("ids")
     phrase = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]))
     named = best.join(spelled.agg(phrase.alias("phrase")), "ids").join(totals, "lang")
