@@ -1,13 +1,13 @@
 """Declarative table checks: a spec in, one result row per check out.
 
 A spec is a mapping (or a YAML file) with `table`, `checks` and `required`; each check has an `id`,
-a `type`, its parameters and the `phases` it runs in. Everything but uniqueness comes from a single
-aggregate over the table; each uniqueness check adds one grouped count.
+a `type`, its parameters and the `phases` it runs in. All checks of a spec come from one scan: each row is counted
+once under the set of row checks it breaks, and once under its key of every uniqueness check.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from pathlib import Path
 from typing import Any
@@ -33,18 +33,16 @@ def load_spec(path: str | Path) -> dict[str, Any]:
     return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
 
 
-# Violations of a check, as an aggregate over the table. `rows` counts all rows.
+# Whether a row breaks a check.
 
 
-def _null_rate(check: Spec) -> Column:
-    nulls = F.count(F.when(F.col(check["column"]).isNull(), 1))
-    allowed = F.count(F.lit(1)) * F.lit(float(check.get("max_pct", 0))) / 100
-    return F.when(nulls > allowed, nulls).otherwise(0)
+def _is_null(check: Spec) -> Column:
+    return F.col(check["column"]).isNull()
 
 
 def _accepted_values(check: Spec) -> Column:
     values = [str(v) for v in check["values"]]
-    return F.count(F.when(~F.col(check["column"]).cast("string").isin(values), 1))
+    return ~F.col(check["column"]).cast("string").isin(values)
 
 
 def _range(check: Spec) -> Column:
@@ -54,34 +52,41 @@ def _range(check: Spec) -> Column:
         outside = outside | (value < F.lit(check["min"]))
     if check.get("max") is not None:
         outside = outside | (value > F.lit(check["max"]))
-    return F.count(F.when(outside, 1))
-
-
-def _row_count(check: Spec) -> Column:
-    rows = F.count(F.lit(1))
-    short = F.greatest(F.lit(check.get("min", 0)).cast("bigint") - rows, F.lit(0))
-    if check.get("max") is None:
-        return short
-    return short + F.greatest(rows - F.lit(check["max"]).cast("bigint"), F.lit(0))
+    return outside
 
 
 def _rule(check: Spec) -> Column:
-    return F.count(F.when(~F.coalesce(F.expr(check["rule"]), F.lit(False)), 1))
+    return ~F.coalesce(F.expr(check["rule"]), F.lit(False))
 
 
 def _pattern(check: Spec) -> Column:
-    matches = F.col(check["column"]).rlike(check["pattern"])
-    return F.count(F.when(~F.coalesce(matches, F.lit(False)), 1))
+    return ~F.coalesce(F.col(check["column"]).rlike(check["pattern"]), F.lit(False))
 
 
-_AGGREGATES: dict[str, Callable[[Spec], Column]] = {
-    "null_rate": _null_rate,
+_BROKEN: dict[str, Callable[[Spec], Column]] = {
+    "null_rate": _is_null,
     "accepted_values": _accepted_values,
     "range": _range,
-    "row_count": _row_count,
     "row_rule": _rule,
     "pattern": _pattern,
 }
+
+
+# Violations of a check, from the rows that break it and all rows.
+
+
+def _null_rate(check: Spec, broken: Column, rows: Column) -> Column:
+    allowed = rows * F.lit(float(check.get("max_pct", 0))) / 100
+    return F.when(broken > allowed, broken).otherwise(0)
+
+
+def _row_count(check: Spec, rows: Column) -> Column:
+    short = F.greatest(F.lit(check.get("min", 0)).cast("bigint") - rows, F.lit(0))
+    if check.get("max") is None:
+        return short
+    return short + F.greatest(rows - F.lit(check["max"]).cast("bigint"), F.lit(0))
+
+
 _NEEDS = {
     "schema": ("columns",),
     "columns": ("columns",),
@@ -140,16 +145,35 @@ def validate_spec(spec: Spec) -> None:
         raise BadSpec(f"required names checks that do not exist: {sorted(lost)}")
 
 
-def _uniqueness(df: DataFrame, check: Spec, required: bool) -> DataFrame:
-    keys = [F.col(c) for c in check["columns"]]
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return per_key.agg(
-        F.lit(check["id"]).alias("check_id"),
-        F.lit("uniqueness").alias("check_type"),
-        F.lit(required).alias("required"),
-        F.coalesce(F.sum("__rows"), F.lit(0)).cast("bigint").alias("rows_checked"),
-        F.count(F.when(F.col("__rows") > 1, 1)).alias("violations"),
-    )
+#: Row checks per number that tells the set a row breaks.
+_BITS = 60
+
+
+def _counted(df: DataFrame, row_checks: Sequence[Spec], keyed: Sequence[Spec]) -> DataFrame:
+    """Rows (`__n`) per set of broken row checks (`__set` 0, bits in `__b...`) and per key of each uniqueness check (1 and on).
+
+    Every row is expanded into these and counted before the shuffle, so the table is scanned once.
+    """
+    words = range(-(-len(row_checks) // _BITS))
+    masks = []
+    for w in words:
+        bits = [
+            F.when(_BROKEN[c["type"]](c), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+            for i, c in enumerate(row_checks[w * _BITS : (w + 1) * _BITS])
+        ]
+        masks.append(reduce(Column.bitwiseOR, bits).alias(f"__b{w}"))
+    columns = list(dict.fromkeys(name for c in keyed for name in c["columns"]))
+    keys = [F.col(name).alias(f"__k{i}") for i, name in enumerate(columns)]
+    if not keyed:
+        return df.select(F.lit(0).alias("__set"), *masks).groupBy("__set", *[f"__b{w}" for w in words]).agg(F.count(F.lit(1)).alias("__n"))
+    flat = df.select(*masks, *keys)
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in flat.schema.fields}
+    copies = [F.struct(F.lit(0).alias("__set"), *[F.col(f"__b{w}") for w in words], *[none[f"__k{i}"] for i in range(len(columns))])]
+    for number, check in enumerate(keyed, 1):
+        own = [F.col(f"__k{i}") if name in check["columns"] else none[f"__k{i}"] for i, name in enumerate(columns)]
+        copies.append(F.struct(F.lit(number).alias("__set"), *[none[f"__b{w}"] for w in words], *own))
+    every = flat.select(F.inline(F.array(*copies)))
+    return every.groupBy(*every.columns).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def run_check_suite(df: DataFrame, spec: Spec, phase: str | None = None) -> DataFrame:
@@ -164,39 +188,45 @@ def run_check_suite(df: DataFrame, spec: Spec, phase: str | None = None) -> Data
     if not chosen:
         raise BadSpec(f"no check to run in phase {phase!r}")
 
-    results = []
-    simple = [c for c in chosen if c["type"] != "uniqueness"]
-    if simple:
-        found = {
-            f"v{i}": (
-                F.lit(len(_DECLARED[c["type"]](df, c)))
-                if c["type"] in _DECLARED
-                else _AGGREGATES[c["type"]](c)
+    row_checks = [c for c in chosen if c["type"] in _BROKEN]
+    keyed = [c for c in chosen if c["type"] == "uniqueness"]
+    counted = _counted(df, row_checks, keyed)
+    total = F.sum(F.when(F.col("__set") == 0, F.col("__n")))
+    found = [F.coalesce(total, F.lit(0)).cast("bigint").alias("rows_checked")]
+    for i in range(len(row_checks)):
+        bit = F.col(f"__b{i // _BITS}").bitwiseAND(F.lit(1 << (i % _BITS))) != 0
+        found.append(F.coalesce(F.sum(F.when(bit, F.col("__n"))), F.lit(0)).alias(f"__broken{i}"))
+    for number in range(1, len(keyed) + 1):
+        repeated = (F.col("__set") == number) & (F.col("__n") > 1)
+        found.append(F.count(F.when(repeated, 1)).alias(f"__repeated{number}"))
+    # A global aggregate has one row even for an empty table.
+    one = counted.agg(*found)
+
+    rows, places = F.col("rows_checked"), {c["id"]: i for i, c in enumerate(row_checks)}
+    numbers = {c["id"]: i for i, c in enumerate(keyed, 1)}
+    reported = []
+    for check in chosen:
+        kind = check["type"]
+        if kind in _DECLARED:
+            violations = F.lit(len(_DECLARED[kind](df, check)))
+        elif kind == "uniqueness":
+            violations = F.col(f"__repeated{numbers[check['id']]}")
+        elif kind == "row_count":
+            violations = _row_count(check, rows)
+        else:
+            violations = F.col(f"__broken{places[check['id']]}")
+            if kind == "null_rate":
+                violations = _null_rate(check, violations, rows)
+        reported.append(
+            F.struct(
+                F.lit(check["id"]).alias("check_id"),
+                F.lit(kind).alias("check_type"),
+                F.lit(check["id"] in required).alias("required"),
+                rows,
+                violations.cast("bigint").alias("violations"),
             )
-            for i, c in enumerate(simple)
-        }
-        # A global aggregate has one row even for an empty table.
-        one = df.agg(
-            F.count(F.lit(1)).alias("rows_checked"),
-            *[F.coalesce(v, F.lit(0)).cast("bigint").alias(name) for name, v in found.items()],
         )
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(c["id"]).alias("check_id"),
-                    F.lit(c["type"]).alias("check_type"),
-                    F.lit(c["id"] in required).alias("required"),
-                    F.col("rows_checked"),
-                    F.col(f"v{i}").alias("violations"),
-                )
-                for i, c in enumerate(simple)
-            ]
-        )
-        results.append(one.select(F.inline(rows)))
-    results += [
-        _uniqueness(df, c, c["id"] in required) for c in chosen if c["type"] == "uniqueness"
-    ]
-    report = reduce(DataFrame.unionByName, results)
+    report = one.select(F.inline(F.array(*reported)))
     return report.withColumn("passed", F.col("violations") == 0).select(*RESULT_COLUMNS)
 
 

@@ -12,6 +12,7 @@ from millrace.checks.contracts import CONTRACTS
 from millrace.checks.gates import EXAMPLES, GateFailed
 from millrace.checks.suite import failed_required, run_check_suite
 from millrace.sinks import tables
+from millrace.sinks.staged import Audit
 
 
 @dataclass(frozen=True)
@@ -28,30 +29,40 @@ class Store:
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
-    def publish(self, table: str, df: DataFrame, *checks: dict[str, Any]) -> DataFrame:
-        """Overwrite a table and return it as written; `checks` run on it in one pass."""
-        tables.overwrite(df, self.name(table))
-        self.require(table, *checks)
-        if self.phase and table in CONTRACTS:
-            self.check_contract(table, self.phase)
+    def publish(self, table: str, df: DataFrame, *checks: dict[str, Any], audit: Audit | None = None) -> DataFrame:
+        """Overwrite a table and return it as written.
+
+        The rows are first complete beside the table. There `checks` run on them in one pass, then the table's contract of
+        the phase and `audit`; a failure of any leaves the table as it was.
+        """
+
+        def passes(rows: DataFrame) -> None:
+            if checks:
+                self._run(table, rows, {"checks": checks, "required": [c["id"] for c in checks]}, None)
+            if self.phase and table in CONTRACTS:
+                self._run(table, rows, CONTRACTS[table], self.phase)
+            if audit is not None:
+                audit(rows)
+
+        tables.overwrite(df, self.name(table), audit=passes)
         return self.read(table)
 
     def require(self, table: str, *checks: dict[str, Any]) -> None:
         if checks:
-            self._run(table, {"checks": checks, "required": [c["id"] for c in checks]}, None)
+            self._run(table, self.read(table), {"checks": checks, "required": [c["id"] for c in checks]}, None)
 
     def check_contract(self, table: str, phase: str) -> None:
         """Run the table's contract; a failing required check raises."""
-        self._run(table, CONTRACTS[table], phase)
+        self._run(table, self.read(table), CONTRACTS[table], phase)
 
-    def _run(self, table: str, spec: dict[str, Any], phase: str | None) -> None:
-        failed = failed_required(run_check_suite(self.read(table), spec, phase))
+    def _run(self, table: str, rows: DataFrame, spec: dict[str, Any], phase: str | None) -> None:
+        failed = failed_required(run_check_suite(rows, spec, phase))
         if failed:
             shown = [
                 str(row.asDict())
                 for check in spec["checks"]
                 if check["id"] in failed and check["type"] == "row_rule"
-                for row in self.read(table).where(f"NOT coalesce({check['rule']}, false)").take(EXAMPLES)
+                for row in rows.where(f"NOT coalesce({check['rule']}, false)").take(EXAMPLES)
             ]
             told = f", e.g. {'; '.join(shown)}" if shown else ""
             raise GateFailed(f"{self.name(table)} fails {failed}{told}")

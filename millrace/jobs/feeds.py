@@ -50,24 +50,26 @@ def warehouses(store: Store) -> None:
 def order_items(store: Store) -> None:
     """order_headers, order_line_items -> enriched_order_items, joined on the order, one row per item."""
     items = store.read("order_line_items")
-    written = store.publish(
-        "enriched_order_items", match(items, store.read("order_headers"), ["order_id"]), unique("line_item_id")
+    store.publish(
+        "enriched_order_items", match(items, store.read("order_headers"), ["order_id"]), unique("line_item_id"),
+        audit=lambda rows: require_same_count(rows, items),
     )
-    require_same_count(written, items)
 
 
 def catalog_enrichment(store: Store) -> None:
     """order_items, product_catalog -> catalog_order_items; the catalogue is not forced into a broadcast."""
     items = store.read("order_items")
-    written = store.publish("catalog_order_items", enrich(items, store.read("product_catalog"), ["product_id"]))
-    require_same_count(written, items)
+    store.publish(
+        "catalog_order_items", enrich(items, store.read("product_catalog"), ["product_id"]),
+        audit=lambda rows: require_same_count(rows, items),
+    )
 
 
 def journeys(store: Store, max_events: int = 10_000) -> None:
     """order_events -> customer_journeys, each customer's events in parts of bounded length."""
     events = store.read("order_events")
     parts = event_journeys(events, "customer_id", "event_seq", "payload", max_events)
-    written = store.publish("customer_journeys", parts, unique("customer_id", "part_no"))
+    store.publish("customer_journeys", parts, unique("customer_id", "part_no"))
     kept = written.agg({"event_count": "sum"}).first()[0] or 0
     if kept != events.count():
         raise GateFailed(f"{kept} events in journeys, {events.count()} in order_events")
@@ -77,8 +79,10 @@ def loyalty(store: Store, feed: str) -> None:
     """loyalty_customers and the vendor's parquet feed at `feed` -> loyalty_enriched, one row per customer."""
     people = store.read("loyalty_customers")
     extended = readers.scan_parquet(store.spark, feed)
-    written = store.publish("loyalty_enriched", enrich(people, extended, ["customer_id"]))
-    require_same_count(written, people)
+    written = store.publish(
+        "loyalty_enriched", enrich(people, extended, ["customer_id"]),
+        audit=lambda rows: require_same_count(rows, people),
+    )
 
 
 def audit_snapshot(store: Store) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.checks.gates import (
@@ -43,8 +44,10 @@ def balances(store: Store) -> None:
     """opening_balances, customer_regions, balance_changes -> customer_balances."""
     history, opening = store.read("customer_regions"), store.read("opening_balances")
     require_single_current(history, "customer_id", "is_current")
-    written = store.publish("customer_balances", customers.balances_with_region(opening, history))
-    require_same_count(written, opening)
+    store.publish(
+        "customer_balances", customers.balances_with_region(opening, history),
+        audit=lambda rows: require_same_count(rows, opening),
+    )
     changes = net_changes(store.read("balance_changes"), ["customer_id"], "change_amount")
     merge.merge_increment(
         store.spark, store.name("customer_balances"), changes, "customer_id", "balance", "change_amount"
@@ -95,23 +98,22 @@ def billing_silver(store: Store) -> None:
         exact_columns(billing.SUBSCRIPTION_COLUMNS),
         unique("subscription_id"),
         never_null("mrr_usd"),
+        audit=lambda rows: require_same_count(rows, bronze["subscriptions"].select(F.trim("subscription_id")).distinct()),
     )
-    require_same_count(silver, bronze["subscriptions"].select(F.trim("subscription_id")).distinct())
     silver = store.publish(
         "bl_invoices_silver",
         billing.invoices_silver(bronze["invoices"], bronze["payments"], bronze["accounts"]),
         exact_columns(billing.INVOICE_COLUMNS),
         unique("invoice_id"),
         never_null("amount_usd"),
+        audit=lambda rows: require_same_count(rows, bronze["invoices"].select(F.trim("invoice_id")).distinct()),
     )
-    require_same_count(silver, bronze["invoices"].select(F.trim("invoice_id")).distinct())
 
 
 def billing_gold(store: Store, as_of: date = billing.AS_OF) -> None:
     """Silver -> bl_mrr_monthly, bl_churn_cohorts, bl_ar_aging -> bl_finance_kpis."""
     subscriptions = store.read("bl_subscriptions_silver")
-    mrr = store.publish("bl_mrr_monthly", billing.mrr_monthly(subscriptions, as_of))
-    now = mrr.where(F.col("month") == F.lit(month_start(as_of)))
+    this_month = F.col("month") == F.lit(month_start(as_of))
     # In the reporting month: started by then, and not ended in it or before.
     month = F.lit(month_start(as_of))
     running = subscriptions.where(
@@ -119,11 +121,18 @@ def billing_gold(store: Store, as_of: date = billing.AS_OF) -> None:
         & (F.col("end_date").isNull() | (F.trunc("end_date", "month") > month))
     )
     active = F.coalesce(F.sum("active_subscriptions"), F.lit(0))
-    require_equal_totals(now, active, running, F.count(F.lit(1)))
+    mrr = store.publish(
+        "bl_mrr_monthly",
+        billing.mrr_monthly(subscriptions, as_of),
+        audit=lambda rows: require_equal_totals(rows.where(this_month), active, running, F.count(F.lit(1))),
+    )
 
-    cohorts = store.publish("bl_churn_cohorts", billing.churn_cohorts(subscriptions))
     started = F.coalesce(F.sum("subscriptions_started"), F.lit(0))
-    require_equal_totals(cohorts, started, subscriptions, F.count(F.lit(1)))
+    store.publish(
+        "bl_churn_cohorts",
+        billing.churn_cohorts(subscriptions),
+        audit=lambda rows: require_equal_totals(rows, started, subscriptions, F.count(F.lit(1))),
+    )
 
     parts = " + ".join(name for name, _, _ in billing.AGE_BUCKETS)
     aging = store.publish(
@@ -131,8 +140,9 @@ def billing_gold(store: Store, as_of: date = billing.AS_OF) -> None:
         billing.ar_aging(store.read("bl_invoices_silver"), as_of),
         rule(f"open_usd = {parts}"),
     )
-    kpis = store.publish(
-        "bl_finance_kpis", billing.finance_kpis(mrr, aging, as_of), unique("account_country")
-    )
-    require_equal_totals(kpis, F.sum("open_ar_usd"), aging, F.sum("open_usd"))
-    require_equal_totals(kpis, F.sum("mrr_usd"), now, F.sum("mrr_usd"))
+
+    def agrees(rows: DataFrame) -> None:
+        require_equal_totals(rows, F.sum("open_ar_usd"), aging, F.sum("open_usd"))
+        require_equal_totals(rows, F.sum("mrr_usd"), mrr.where(this_month), F.sum("mrr_usd"))
+
+    store.publish("bl_finance_kpis", billing.finance_kpis(mrr, aging, as_of), unique("account_country"), audit=agrees)

@@ -47,9 +47,12 @@ def accounts_medallion(store: Store, expected_accounts: int | None = None) -> No
         known("tier", [*accounts.TIERS, accounts.NO_TIER]),
         *count,
     )
-    summary = store.publish("account_summary", accounts.account_summary(silver))
     kept = F.coalesce(F.sum("accounts_count"), F.lit(0))
-    require_equal_totals(summary, kept, silver, F.count(F.lit(1)))
+    store.publish(
+        "account_summary",
+        accounts.account_summary(silver),
+        audit=lambda rows: require_equal_totals(rows, kept, silver, F.count(F.lit(1))),
+    )
 
 
 def supplier_spend(store: Store) -> None:
@@ -61,8 +64,8 @@ def supplier_spend(store: Store) -> None:
         procurement.clean_suppliers(raw),
         exact_columns(procurement.SUPPLIER_COLUMNS),
         never_null("annual_contract_usd"),
+        audit=lambda rows: require_same_count(rows, raw.select(F.trim("supplier_id")).distinct()),
     )
-    require_same_count(suppliers, raw.select(F.trim("supplier_id")).distinct())
     raw = store.read("sp_purchase_orders_raw")
     orders = store.publish(
         "sp_purchase_orders",
@@ -70,8 +73,8 @@ def supplier_spend(store: Store) -> None:
         exact_columns(procurement.PO_COLUMNS),
         never_null("supplier_name"),
         never_null("amount_usd"),
+        audit=lambda rows: require_same_count(rows, raw.select(F.trim("po_id")).distinct()),
     )
-    require_same_count(orders, raw.select(F.trim("po_id")).distinct())
     spend = store.publish(
         "sp_spend_by_country",
         procurement.spend_by_country(orders, suppliers),
@@ -99,8 +102,8 @@ def carrier_sla(store: Store) -> None:
         exact_rows(feed.count()),
         rule("transit_days IS NULL OR transit_days >= 0"),
         known("carrier", list(PROMISED_DAYS)),
+        audit=lambda rows: require_no_orphans(rows, store.read("sd_warehouses"), ["warehouse_id"]),
     )
-    require_no_orphans(shipments, store.read("sd_warehouses"), ["warehouse_id"])
     report = store.publish("sd_carrier_sla", shipping.carrier_sla(shipments))
     require_totals(
         report,
@@ -128,8 +131,8 @@ def country_revenue(store: Store) -> None:
         exact_columns(country.ORDER_COLUMNS),
         unique("order_id"),
         *_CODE,
+        audit=lambda rows: require_no_orphans(rows, people, ["customer_id"]),
     )
-    require_no_orphans(orders, people, ["customer_id"])
     report = store.publish(
         "cc_revenue_by_country", country.country_revenue(orders), unique("country"), *_CODE
     )
@@ -156,8 +159,8 @@ def country_revenue_v2(store: Store) -> None:
         exact_columns(country.ORDER_COLUMNS_V2),
         unique("order_id"),
         *_CODE,
+        audit=lambda rows: require_no_orphans(rows, people, ["customer_id"]),
     )
-    require_no_orphans(orders, people, ["customer_id"])
     report = store.publish(
         "cc2_revenue_by_country", country.country_revenue_v2(orders), unique("country"), *_CODE
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -97,6 +98,21 @@ def _(v: Inputs) -> DataFrame:
     return v.spark.table(table)
 
 
+@query(
+    "land_slice",
+    views=["transactions"],
+    oracle="""SELECT * EXCLUDE (txn_date), 'payments' AS source_object, txn_date FROM transactions
+    WHERE txn_date BETWEEN '2024-01-15' AND '2024-01-16'""",
+)
+def _(v: Inputs) -> DataFrame:
+    """Two days, the first of them delivered twice, read back by a filter on the partition."""
+    table = f"{scratch.scratch_database(v.spark)}.transactions_bronze"
+    for day in ("2024-01-15", "2024-01-16", "2024-01-17", "2024-01-15"):
+        delivered = readers.day_slice(v.transactions, "txn_date", day)
+        tables.land_slice(delivered, table, "payments", "txn_date", day)
+    return v.spark.table(table).where("txn_date <= '2024-01-16'")
+
+
 @query(
     "land_text_feed",
     views=["carrier_feed"],
@@ -285,5 +301,9 @@ def _(v: Inputs) -> DataFrame:
 )
 def _(v: Inputs) -> DataFrame:
     net = net_changes(v.balance_changes, ["customer_id"], "change_amount")
-    typed(net, change_amount="decimal(22,2)").createOrReplaceTempView("net_balance_changes")
-    return v.spark.sql("SELECT * FROM net_balance_changes WHERE change_amount > 1000")
+    view = f"net_balance_changes_{uuid.uuid4().hex[:12]}"
+    typed(net, change_amount="decimal(22,2)").createTempView(view)
+    try:
+        return v.spark.sql(f"SELECT * FROM {view} WHERE change_amount > 1000")  # resolved now, so the view may go
+    finally:
+        v.spark.catalog.dropTempView(view)

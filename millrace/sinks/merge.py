@@ -12,6 +12,10 @@ from millrace.sinks import staged
 from millrace.sinks.tables import SchemaChanged, _writer
 
 
+#: Beyond so many names of partitions or files, they are not listed on the driver.
+MOST_NAMES = 10_000
+
+
 class AmbiguousMerge(ValueError):
     """Several source rows match one target row."""
 
@@ -94,30 +98,39 @@ def merge_into(
     """Apply `source` to `table`; raises before writing when a target row has several source rows.
 
     The table keeps its partitioning, comments and properties. If its partition columns are part of the
-    key, only the partitions that the source names are read and rewritten, however many and of
-    however many columns; otherwise the whole table is. The source is computed once, into
-    `<table>__batch_<run>`. The merged rows are complete in `<table>__next_<run>` before the table is
+    key, only the partitions that the source names are read and rewritten. Otherwise the keys are looked up in
+    the table, only the files that hold one of the batch are read as a whole and replaced, and new keys come in a file of their
+    own. With more than `MOST_NAMES` such partitions or files, or a table without files, the whole table is rewritten.
+
+    The source is computed once, into `<table>__batch_<run>`. The merged rows are complete in
+    `<table>__next_<run>` (and the names of the files they replace in `<table>__gone_<run>`) before the table is
     touched; a run that stops while they are put in place is finished by the next one. While one run
     writes, another is refused.
     """
     staged.refuse_if_busy(spark, table)
     parts = staged.partitioning(spark, table)
-    narrow = bool(parts) and set(parts) <= set(keys)
     run = staged.new_run()
     batch, following = f"{table}__batch_{run}", f"{table}__next_{run}"
+    gone = staged.gone_beside(following)
+    narrow = bool(parts) and set(parts) <= set(keys)
     try:
         staged.write(source, batch, parts if narrow and set(parts) < set(source.columns) else ())
         changes, target = spark.table(batch), spark.table(table)
-        if narrow:
-            target = target.where(_touched(changes, parts))
+        touched = _touched(changes, parts) if narrow else None
+        how = staged.PARTITIONS if touched is not None else staged.REPLACE
+        if touched is not None:
+            target = target.where(touched)
+        elif (files := _touched_files(spark, table, changes, keys, gone)) is not None:
+            target, how = target.where(F.col("_metadata.file_path").isin(files)), staged.FILES
         _refuse_ambiguous(target, changes, keys)
         staged.write(merged(target, changes, keys, matched, inserted), following, parts)
-        if narrow:
-            staged.commit(spark, table, following, staged.PARTITIONS)
-        else:
+        if how == staged.REPLACE:
             staged.finish(spark, table, following, keep=True)
+        else:
+            staged.commit(spark, table, following, how)
     except Exception:
-        staged._drop_unless_ready(spark, following)
+        if staged._drop_unless_ready(spark, following):
+            spark.sql(f"DROP TABLE IF EXISTS {gone}")
         raise
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {batch}")
@@ -165,11 +178,36 @@ def create_or_merge(
         _writer(batch, "overwrite", partition_by).saveAsTable(table)
 
 
-def _touched(changes: DataFrame, parts: Sequence[str]) -> Column:
-    """A condition on partition columns alone that holds for the partitions of `changes`.
+def _touched(changes: DataFrame, parts: Sequence[str]) -> Column | None:
+    """A condition on partition columns alone that holds for the partitions of `changes`; none for too many.
 
     The list has one entry per partition of the batch, as a catalogue lists them; Spark evaluates the
     condition on the table's partitions before it reads any.
     """
     name = F.concat_ws("/", *[F.coalesce(F.concat(F.lit("="), F.col(p).cast("string")), F.lit("null")) for p in parts])
-    return name.isin([row[0] for row in changes.select(name.alias("p")).distinct().collect()])
+    names = [row[0] for row in changes.select(name.alias("p")).distinct().limit(MOST_NAMES + 1).collect()]
+    return name.isin(names) if len(names) <= MOST_NAMES else None
+
+
+def _touched_files(
+    spark: SparkSession, table: str, changes: DataFrame, keys: Sequence[str], gone: str
+) -> list[str] | None:
+    """The table's files that hold a key of `changes`, saved in `gone`; none for a table without files, or too many.
+
+    Only the key columns are read; where the file format has them, the batch's least and greatest key let whole files be skipped.
+    """
+    provider = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Provider'").first()
+    if provider is None or provider["data_type"].lower() not in ("parquet", "orc"):
+        return None
+    bounds = changes.agg(*[f(k).alias(f"{n}_{i}") for i, k in enumerate(keys) for n, f in (("least", F.min), ("most", F.max))]).first()
+    located = spark.table(table).select(*keys, F.col("_metadata.file_path").alias("path"))
+    for i, key in enumerate(keys):
+        if isinstance(changes.schema[key].dataType, (T.IntegralType, T.StringType, T.DateType)) and bounds[f"least_{i}"] is not None:
+            located = located.where(F.col(key).between(bounds[f"least_{i}"], bounds[f"most_{i}"]))
+    held = located.join(changes.select(*keys), list(keys), "left_semi").select("path").distinct()
+    staged.write(held, gone)
+    names = [row["path"] for row in spark.table(gone).limit(MOST_NAMES + 1).collect()]
+    if len(names) <= MOST_NAMES:
+        return names
+    spark.sql(f"DROP TABLE {gone}")
+    return None

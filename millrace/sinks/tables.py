@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.checks.gates import EXAMPLES, GateFailed
 from millrace.sinks import staged
+from millrace.sinks.staged import Audit
 
 
 class SchemaChanged(ValueError):
@@ -33,19 +34,42 @@ def _writer(df: DataFrame, mode: str, partition_by: Sequence[str]):
     return writer.partitionBy(*partition_by) if partition_by else writer
 
 
-def overwrite(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the data and, where the columns differ, the schema. A rerun gives the same table."""
-    _writer(df, "overwrite", partition_by).option("overwriteSchema", "true").saveAsTable(table)
+def overwrite(df: DataFrame, table: str, partition_by: Sequence[str] = (), audit: Audit | None = None) -> None:
+    """Replace the data and, where the columns differ, the schema. A rerun gives the same table.
+
+    The rows are complete beside the old table, and `audit` has passed them there, before that is touched: a
+    failing write or audit leaves it. `df` may read the table itself.
+    """
+    staged.replace(df, table, partition_by, audit=audit)
 
 
-def overwrite_same_schema(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the data of a published table; refuse, before writing, to change its columns."""
+def overwrite_same_schema(df: DataFrame, table: str, partition_by: Sequence[str] = (), audit: Audit | None = None) -> None:
+    """Replace the data of a published table as `overwrite` does; refuse, before writing, to change its columns."""
     spark = df.sparkSession
+    staged.recover(spark, table)
     if spark.catalog.tableExists(table):
         published, offered = table_columns(spark, table), columns_of(df)
         if published != offered:
             raise SchemaChanged(f"{table} has columns {published}, the write has {offered}")
-    _writer(df, "overwrite", partition_by).saveAsTable(table)
+    staged.replace(df, table, partition_by, keep=True, audit=audit)
+
+
+def replace_slice(df: DataFrame, table: str, column: str, value: str, audit: Audit | None = None) -> None:
+    """Put `df` in the place of one slice of a table, say a day or a run; a rerun of it gives the same table.
+
+    The table is partitioned by `column`, which the rows get with this value, and created by its first slice. Files of other
+    slices are not touched, and a slice without rows is removed. A failing write or audit leaves the old slice.
+    """
+    spark = df.sparkSession
+    rows = df.withColumn(column, F.lit(value))
+    staged.recover(spark, table)
+    if not spark.catalog.tableExists(table):
+        staged.replace(rows, table, [column], audit=audit)
+        return
+    published, offered = table_columns(spark, table), columns_of(rows)
+    if sorted(published) != sorted(offered) or staged.partitioning(spark, table) != [column]:
+        raise SchemaChanged(f"{table} has columns {published}, partitioned by {staged.partitioning(spark, table)}; the slice of {column} has {offered}")
+    staged.replace_partition(rows, table, column, value, audit)
 
 
 def append(df: DataFrame, table: str) -> None:
@@ -74,33 +98,44 @@ def write_checked(df: DataFrame, table: str, rule: str, partition_by: Sequence[s
     The input is computed once: its rows are written beside the table and broken ones counted by that
     write. A failing batch leaves the table as it was.
     """
-    spark = df.sparkSession
-    staged.refuse_if_busy(spark, table)
-    following = f"{table}__next_{staged.new_run()}"
     broken = ~F.coalesce(F.expr(rule), F.lit(False))
     seen = Observation()
-    try:
-        observed = df.observe(seen, F.count(F.when(broken, 1)).alias("broken"))
-        staged.write(observed, following, partition_by)
+
+    def unbroken(rows: DataFrame) -> None:
         count = seen.get["broken"]
         if count:
-            shown = "; ".join(str(r.asDict()) for r in spark.table(following).where(broken).take(EXAMPLES))
+            shown = "; ".join(str(r.asDict()) for r in rows.where(broken).take(EXAMPLES))
             raise GateFailed(f"{count} row(s) break the rule {rule!r}, e.g. {shown}")
-        staged.finish(spark, table, following, keep=False)
-    except Exception:
-        staged._drop_unless_ready(spark, following)
-        raise
+
+    observed = df.observe(seen, F.count(F.when(broken, 1)).alias("broken"))
+    staged.replace(observed, table, partition_by, audit=unbroken)
+
+
+def _counted(raw: DataFrame, table: str, source_object: str) -> tuple[DataFrame, Observation, Audit]:
+    """The rows with their source, counted as they are written, and an audit that none is lost."""
+    seen = Observation()
+    landed = raw.withColumn("source_object", F.lit(source_object)).observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def complete(rows: DataFrame) -> None:
+        written = rows.count()
+        if written != seen.get["rows"]:
+            raise GateFailed(f"{table} would have {written} rows, its source has {seen.get['rows']}")
+
+    return landed, seen, complete
 
 
 def land(raw: DataFrame, table: str, source_object: str) -> int:
     """Copy a raw table unchanged with a column naming its source; returns the row count.
 
-    The rows are counted by the write itself and compared with the written table's.
+    The rows are counted by the write itself and compared with those written, before the old table is touched.
     """
-    seen = Observation()
-    landed = raw.withColumn("source_object", F.lit(source_object))
-    overwrite(landed.observe(seen, F.count(F.lit(1)).alias("rows")), table)
-    written = raw.sparkSession.table(table).count()
-    if written != seen.get["rows"]:
-        raise GateFailed(f"{table} has {written} rows, its source {seen.get['rows']}")
-    return written
+    landed, seen, complete = _counted(raw, table, source_object)
+    overwrite(landed, table, audit=complete)
+    return seen.get["rows"]
+
+
+def land_slice(raw: DataFrame, table: str, source_object: str, column: str, value: str) -> int:
+    """Land one delivery, say of a day, in the place of that delivery alone; returns its row count."""
+    landed, seen, complete = _counted(raw, table, source_object)
+    replace_slice(landed, table, column, value, audit=complete)
+    return seen.get["rows"]

@@ -185,3 +185,27 @@ def test_reports(people, rows_of):
     assert rows_of(reports.unresolved_report(people, "tier", F.when(F.col("tier") == "Gold", 1))) == [
         ("gold", 1), (None, 1),
     ]
+
+
+def test_any_number_of_checks_scans_the_table_once(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id % 7 AS a", "id % 5 AS b", "if(id % 4 = 0, null, id) AS c")
+    rows.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    keys = [["a"], ["b"], ["a", "b"], ["c"], ["a", "c"]]
+    checks = [{"id": f"key {i}", "type": "uniqueness", "columns": k} for i, k in enumerate(keys)]
+    checks += [{"id": f"rule {i}", "type": "row_rule", "rule": f"c > {i} OR c IS NULL"} for i in range(130)]
+    checks += [{"id": "nulls", "type": "null_rate", "column": "c", "max_pct": 10}, {"id": "rows", "type": "row_count", "min": 41}]
+    report = run_check_suite(table, {"checks": checks})
+    assert report._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r["check_id"]: r["violations"] for r in report.collect()}
+    for i, k in enumerate(keys):
+        assert got[f"key {i}"] == table.groupBy(*k).count().where("count > 1").count()
+    assert [got[f"rule {i}"] for i in (0, 1, 59, 60, 129)] == [table.where(f"c <= {i}").count() for i in (0, 1, 59, 60, 129)]
+    assert (got["nulls"], got["rows"]) == (10, 1)
+    assert all(r["rows_checked"] == 40 for r in report.collect())
+
+
+def test_checks_of_an_empty_table(spark):
+    spec = {"checks": [{"id": "key", "type": "uniqueness", "columns": ["id"]}, {"id": "rows", "type": "row_count", "min": 1}]}
+    got = {r["check_id"]: (r["rows_checked"], r["violations"], r["passed"]) for r in run_check_suite(spark.range(0), spec).collect()}
+    assert got == {"key": (0, 0, True), "rows": (0, 1, False)}

@@ -266,10 +266,11 @@ def test_a_replacement_that_stopped_is_finished_by_the_next_run(spark, schema, r
         spark.sql(f"DROP TABLE {name}")
         raise RuntimeError("driver lost")
 
+    both = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     with monkeypatch.context() as patch:
         patch.setattr(staged, "_apply", dies)
         with pytest.raises(RuntimeError):
-            merge.merge_upsert(spark, table, spark.createDataFrame([(2, "b")], "k int, v string"), ["k"])
+            tables.recreate(both, table)
     merge.create_or_merge(spark, table, spark.createDataFrame([(3, "c")], "k int, v string"), ["k"])
     assert rows_of(spark.table(table)) == [(1, "a"), (2, "b"), (3, "c")]
 
@@ -352,3 +353,142 @@ def test_the_partition_must_be_part_of_the_key(spark, schema):
     df = spark.createDataFrame([(1, 1, "a", 1)], TARGET)
     with pytest.raises(ValueError, match="part of the merge key"):
         merge.create_or_merge(spark, table, df, ["k"], ["p"])
+
+
+def files_of(spark, table, where="true"):
+    return {r[0] for r in spark.table(table).where(where).select("_metadata.file_path").distinct().collect()}
+
+
+def test_a_merge_rewrites_only_files_that_hold_a_key(spark, schema, rows_of):
+    table = f"{schema}.t"
+    rows = spark.range(0, 1000, 1, 100).select("id", (F.col("id") * 2).alias("v"))
+    rows.write.saveAsTable(table)
+    before = files_of(spark, table)
+    batch = spark.range(0, 1000, 211).select("id", F.lit(-1).cast("bigint").alias("v")).union(spark.sql("SELECT 5000L, 7L"))
+    merge.merge_upsert(spark, table, batch, ["id"])
+    after = files_of(spark, table)
+    assert len(before) == 100 and len(before - after) == 5
+    expected = [(i, -1 if i % 211 == 0 else 2 * i) for i in range(1000)] + [(5000, 7)]
+    assert rows_of(spark.table(table)) == sorted(expected, key=repr)
+    assert [t.name for t in spark.catalog.listTables(schema)] == ["t"]
+    merge.merge_increment(spark, table, spark.sql("SELECT 5000L AS id, 1L AS more"), "id", "v", "more")
+    assert len(after - files_of(spark, table)) == 1
+    assert spark.table(table).where("id = 5000").first()["v"] == 8
+
+
+def test_a_merge_may_move_rows_to_other_partitions(spark, schema, rows_of):
+    table = f"{schema}.t"
+    start = [(i, i % 3, f"v {i}", i) for i in range(9)]
+    tables.overwrite(spark.createDataFrame(start, TARGET).coalesce(1), table, ["p"])
+    kept = files_of(spark, table, "p = 2")
+    batch = spark.createDataFrame([(0, 7, "moved", 1), (3, None, "moved", 2), (50, 1, "new", 3)], TARGET)
+    merge.merge_upsert(spark, table, batch, ["k"])
+    expected = [r for r in start if r[0] not in (0, 3)] + [(0, 7, "moved", 1), (3, None, "moved", 2), (50, 1, "new", 3)]
+    assert rows_of(spark.table(table).select("k", "p", "v", "w")) == sorted(expected, key=repr)
+    assert files_of(spark, table, "p = 2") == kept
+    assert spark.table(table).where("p = 7").count() == 1
+
+
+@pytest.mark.parametrize("moved", [0, 1, 2])
+def test_an_exchange_of_files_that_stopped_is_replayed(spark, schema, rows_of, monkeypatch, moved):
+    import shutil
+    from pathlib import Path
+
+    table = f"{schema}.t"
+    tables.overwrite(spark.createDataFrame([(1, 1, "a", 1), (2, 2, "b", 1), (3, 3, "c", 1)], TARGET), table, ["p"])
+
+    def dies(spark, name, following, how):
+        assert how == staged.FILES
+        source, target = (Path(staged.location(spark, t).removeprefix("file:")) for t in (following, name))
+        for path in sorted(source.rglob("part-*"))[:moved]:
+            place = target / path.relative_to(source)
+            place.parent.mkdir(exist_ok=True)
+            shutil.move(path, place)
+        raise RuntimeError("driver lost")
+
+    batch = spark.createDataFrame([(1, 1, "x", 2), (4, 9, "y", 2)], TARGET)
+    with monkeypatch.context() as patch:
+        patch.setattr(staged, "_apply", dies)
+        with pytest.raises(RuntimeError):
+            merge.merge_upsert(spark, table, batch, ["k"])
+    merge.merge_upsert(spark, table, spark.createDataFrame([(3, 3, "z", 3)], TARGET), ["k"])
+    expected = [(1, 1, "x", 2), (2, 2, "b", 1), (3, 3, "z", 3), (4, 9, "y", 2)]
+    assert rows_of(spark.table(table).select("k", "p", "v", "w")) == expected
+    assert [t.name for t in spark.catalog.listTables(schema)] == ["t"]
+
+
+def test_too_many_files_or_partitions_are_not_listed(spark, schema, rows_of, monkeypatch):
+    monkeypatch.setattr(merge, "MOST_NAMES", 1)
+    for parts, keys in (([], ["k"]), (["p"], ["k", "p"])):
+        table = f"{schema}.t{len(parts)}"
+        rows = [(k, k % 3, "a", 1) for k in range(6)]
+        tables.overwrite(spark.createDataFrame(rows, TARGET).repartition(3, "p"), table, parts)
+        merge.merge_upsert(spark, table, spark.createDataFrame([(k, p, "b", w) for k, p, _, w in rows[:3]], TARGET), keys)
+        expected = [(k, p, "b" if k < 3 else "a", w) for k, p, _, w in rows]
+        assert rows_of(spark.table(table).select("k", "p", "v", "w")) == expected
+    assert sorted(t.name for t in spark.catalog.listTables(schema)) == ["t0", "t1"]
+
+
+def refuse(rows):
+    raise GateFailed(f"{rows.count()} rows looked at")
+
+
+@pytest.mark.parametrize("partition_by", [[], ["v"]])
+def test_a_failing_write_or_audit_leaves_every_table(spark, schema, rows_of, partition_by):
+    table = f"{schema}.t"
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    tables.overwrite(df, table, partition_by)
+    broken = df.withColumn("k", F.raise_error(F.lit("no")).cast("int"))
+    for write in (tables.overwrite, tables.overwrite_same_schema):
+        with pytest.raises(Exception, match="no"):
+            write(broken, table, partition_by)
+        with pytest.raises(GateFailed, match="2 rows looked at"):
+            write(df.union(df), table, partition_by, audit=refuse)
+        assert rows_of(spark.table(table)) == [(1, "a")]
+        write(spark.table(table).union(df), table, partition_by)  # reading itself
+        write(df, table, partition_by)
+    assert rows_of(spark.table(table)) == [(1, "a")]
+    assert [t.name for t in spark.catalog.listTables(schema)] == ["t"]
+
+
+def test_landing_that_fails_leaves_the_old_delivery(spark, schema, rows_of):
+    table = f"{schema}.bronze"
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    tables.land(df, table, "x")
+    with pytest.raises(Exception, match="no"):
+        tables.land(df.withColumn("k", F.raise_error(F.lit("no")).cast("int")), table, "x")
+    assert rows_of(spark.table(table)) == [(1, "a", "x")]
+
+
+def test_a_day_is_landed_in_its_own_place(spark, schema, rows_of):
+    table = f"{schema}.bronze"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    for day in ("2026-08-30", "2026-08-31"):
+        assert tables.land_slice(df, table, "x", "day", day) == 2
+    kept = files_of(spark, table, "day = '2026-08-30'")
+    again = df.where("k = 1").withColumn("v", F.lit("corrected"))
+    tables.land_slice(again, table, "x", "day", "2026-08-31")
+    assert files_of(spark, table, "day = '2026-08-30'") == kept
+    assert rows_of(spark.table(table).where("day = '2026-08-31'")) == [(1, "corrected", "x", "2026-08-31")]
+    plan = spark.table(table).where("day = '2026-08-31'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    for failing in (lambda: tables.replace_slice(again.drop("v"), table, "day", "2026-08-31"),):
+        with pytest.raises(tables.SchemaChanged):
+            failing()
+    with pytest.raises(GateFailed):
+        tables.replace_slice(again.withColumn("source_object", F.lit("y")), table, "day", "2026-08-31", audit=refuse)
+    assert spark.table(table).count() == 3
+    assert tables.land_slice(df.limit(0), table, "x", "day", "2026-08-31") == 0
+    assert spark.table(table).count() == 2 and files_of(spark, table) == kept
+    assert [t.name for t in spark.catalog.listTables(schema)] == ["bronze"]
+
+
+def test_a_view_of_a_copys_name_does_not_make_a_table_busy(spark, schema):
+    table = f"{schema}.t"
+    spark.range(3).createOrReplaceTempView("t__next_0123456789ab")
+    try:
+        tables.overwrite(spark.range(2), table)
+        merge.merge_upsert(spark, table, spark.range(1, 4), ["id"])
+        assert spark.table(table).count() == 4
+    finally:
+        spark.catalog.dropTempView("t__next_0123456789ab")
