@@ -176,18 +176,22 @@ def _counted(df: DataFrame, row_checks: Sequence[Spec], keyed: Sequence[Spec]) -
     return every.groupBy(*every.columns).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def run_check_suite(df: DataFrame, spec: Spec, phase: str | None = None) -> DataFrame:
-    """One row per check of `phase` (all checks without one): violations found and whether it passed."""
+def _chosen(spec: Spec, phase: str | None) -> list[Spec]:
+    """The checks of a valid spec that run in `phase`."""
     validate_spec(spec)
     if phase is not None and phase not in PHASES:
         raise BadSpec(f"unknown phase {phase!r}")
     chosen = [
         c for c in spec["checks"] if phase is None or phase in c.get("phases", PHASES)
     ]
-    required = set(spec.get("required", []))
     if not chosen:
         raise BadSpec(f"no check to run in phase {phase!r}")
+    return chosen
+
 
+def run_check_suite(df: DataFrame, spec: Spec, phase: str | None = None) -> DataFrame:
+    """One row per check of `phase` (all checks without one): violations found and whether it passed."""
+    chosen = _chosen(spec, phase)
     row_checks = [c for c in chosen if c["type"] in _BROKEN]
     keyed = [c for c in chosen if c["type"] == "uniqueness"]
     counted = _counted(df, row_checks, keyed)
@@ -202,6 +206,14 @@ def run_check_suite(df: DataFrame, spec: Spec, phase: str | None = None) -> Data
     # A global aggregate has one row even for an empty table.
     one = counted.agg(*found)
 
+    return _report(one, df, chosen, spec)
+
+
+def _report(one: DataFrame, df: DataFrame, chosen: Sequence[Spec], spec: Spec) -> DataFrame:
+    """The report from one row of counts; `df` only tells the columns."""
+    required = set(spec.get("required", []))
+    row_checks = [c for c in chosen if c["type"] in _BROKEN]
+    keyed = [c for c in chosen if c["type"] == "uniqueness"]
     rows, places = F.col("rows_checked"), {c["id"]: i for i, c in enumerate(row_checks)}
     numbers = {c["id"]: i for i, c in enumerate(keyed, 1)}
     reported = []
@@ -230,6 +242,27 @@ def run_check_suite(df: DataFrame, spec: Spec, phase: str | None = None) -> Data
     return report.withColumn("passed", F.col("violations") == 0).select(*RESULT_COLUMNS)
 
 
+def check_states(df: DataFrame, spec: Spec, phase: str | None = None) -> DataFrame:
+    """One row of counts that add up: all rows (`rows_checked`) and, per row check, those that break it.
+
+    The states of parts of a table, say of its days, give the report of the whole (`report_of_states`). Uniqueness is not a
+    sum over parts, so a spec with such a check is refused.
+    """
+    chosen = _chosen(spec, phase)
+    if [c for c in chosen if c["type"] == "uniqueness"]:
+        raise BadSpec("uniqueness can't be added up from parts of a table")
+    broken = [F.count(F.when(_BROKEN[c["type"]](c), 1)).alias(f"__broken{i}") for i, c in enumerate(c for c in chosen if c["type"] in _BROKEN)]
+    return df.agg(F.count(F.lit(1)).alias("rows_checked"), *broken)
+
+
+def report_of_states(states: DataFrame, df: DataFrame, spec: Spec, phase: str | None = None) -> DataFrame:
+    """The report of `run_check_suite` from the states of all parts of the table `df`, which is not read."""
+    chosen = _chosen(spec, phase)
+    names = [c for c in states.columns if c == "rows_checked" or c.startswith("__broken")]
+    one = states.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names])
+    return _report(one, df, chosen, spec)
+
+
 def failed_required(report: DataFrame) -> list[str]:
     """Ids of required checks that did not pass (an action; one row per check)."""
     rows = report.where(F.col("required") & ~F.col("passed")).select("check_id").collect()

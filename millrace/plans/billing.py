@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import age_in_days, month_of, month_start
@@ -205,27 +205,32 @@ def mrr_monthly(subscriptions: DataFrame, as_of: date = AS_OF) -> DataFrame:
     last = F.when(F.col("end_date").isNull(), running_to).otherwise(
         F.add_months(month_of("end_date"), -1)
     )
-    # Subscriptions with the same first and last month are summed before they spread over months.
-    spans = (
-        subscriptions.select(
-            "account_country",
-            "plan_tier",
-            month_of("start_date").alias("first"),
-            last.alias("last"),
-            F.col("mrr_usd").cast("decimal(14,2)").alias("mrr"),
-        )
-        .where(F.col("last") >= F.col("first"))
-        .groupBy("account_country", "plan_tier", "first", "last")
-        .agg(F.count("*").alias("n"), F.sum("mrr").alias("mrr"))
+    spans = subscriptions.select(
+        "account_country",
+        "plan_tier",
+        month_of("start_date").alias("first"),
+        last.alias("last"),
+        F.col("mrr_usd").cast("decimal(14,2)").alias("mrr"),
+    ).where(F.col("last") >= F.col("first"))
+    # A subscription is one entry in its first month and one exit after its last, however long it runs.
+    priced = F.count("mrr")
+    entries = spans.groupBy("account_country", "plan_tier", F.col("first").alias("month")).agg(
+        F.count("*").alias("n"), priced.alias("priced"), F.sum("mrr").alias("mrr")
     )
-    months = F.explode(F.sequence("first", "last", F.expr("interval 1 month")))
-    return (
-        spans.withColumn("month", months)
-        .groupBy("month", "account_country", "plan_tier")
-        .agg(
-            F.sum("n").alias("active_subscriptions"),
-            F.sum("mrr").cast("decimal(14,2)").alias("mrr_usd"),
-        )
+    exits = spans.groupBy("account_country", "plan_tier", F.add_months("last", 1).alias("month")).agg(
+        (-F.count("*")).alias("n"), (-priced).alias("priced"), (-F.sum("mrr")).alias("mrr")
+    )
+    group = Window.partitionBy("account_country", "plan_tier").orderBy("month")
+    steps = entries.unionByName(exits).groupBy("account_country", "plan_tier", "month").agg(*[F.sum(c).alias(c) for c in ("n", "priced", "mrr")])
+    running = steps.withColumns({**{c: F.sum(c).over(group) for c in ("n", "priced", "mrr")}, "next": F.lead("month").over(group)})
+    # Between two steps nothing changes. The last step is an exit that leaves nothing.
+    months = F.explode(F.sequence("month", F.add_months("next", -1), F.expr("interval 1 month")))
+    return running.where(F.col("n") > 0).select(
+        months.alias("month"),
+        "account_country",
+        "plan_tier",
+        F.col("n").alias("active_subscriptions"),
+        F.when(F.col("priced") > 0, F.col("mrr")).cast("decimal(14,2)").alias("mrr_usd"),
     )
 
 

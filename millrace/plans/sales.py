@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.money import mean
+from millrace.operators.maintained import Maintained
 
 DAILY_KEYS = ["store_id", "product_category", "sale_date"]
 
@@ -24,5 +25,24 @@ def daily_sales(transactions: DataFrame, run_date: date | None = None) -> DataFr
     )
 
 
+#: The daily summary as states that batches and their corrections are added to.
+DAILY_STATES = Maintained(
+    keys=DAILY_KEYS,
+    sums={"revenue_sum": "revenue", "units_sum": "quantity"},
+    counts={"transactions": "transaction_id"},
+)
+
+
+def daily_sales_of(states: DataFrame) -> DataFrame:
+    """The daily summary, from its states."""
+    return DAILY_STATES.report(
+        states,
+        DAILY_STATES.total("revenue_sum").alias("total_revenue"),
+        DAILY_STATES.total("units_sum").alias("total_units"),
+        DAILY_STATES.average("revenue_sum").alias("avg_order_value"),
+        F.col("transactions").alias("transaction_count"),
+    )
+
+
 def regional_revenue(orders: DataFrame) -> DataFrame:
     return orders.groupBy("region_code").agg(F.sum("order_amount").alias("total_revenue"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.operators.keyed import net_changes
 from millrace.plans import accounts, billing, country, orders, procurement, reconcile, sales, shipping
@@ -12,6 +13,7 @@ from millrace.registry import cleaning
 from millrace.registry.base import Inputs, half_up, query, typed
 from millrace.registry.io import _DAILY, _RECONCILE, daily, reconciled
 from millrace.registry.joins import SILVER_CTE, accounts_silver
+from millrace.sinks import merge, scratch
 
 # The last day the derived billing tables are reported for.
 AS_OF = date(2001, 9, 30)
@@ -22,6 +24,22 @@ def _(v: Inputs) -> DataFrame:
     return daily(v.sales_transactions)
 
 
+@query("daily_sales_maintained", views=["sales_transactions"], oracle=_DAILY)
+def _(v: Inputs) -> DataFrame:
+    """Two deliveries, the first with rows at a wrong price that the second takes back and restates."""
+    table = f"{scratch.scratch_database(v.spark)}.daily_sales_states"
+    rows = v.sales_transactions.withColumn("sign", F.lit(1))
+    early, wrong = F.col("sale_date") < "1996-01-01", F.pmod(F.hash("transaction_id"), F.lit(10)) == 0
+    mispriced = typed(rows.where(early & wrong).withColumn("revenue", F.col("revenue") + 1), revenue=dict(rows.dtypes)["revenue"])
+    merge.merge_states(v.spark, table, sales.DAILY_STATES, rows.where(early & ~wrong).unionByName(mispriced), "sign")
+    taken_back = mispriced.withColumn("sign", F.lit(-1))
+    later = rows.where(~early).unionByName(rows.where(early & wrong)).unionByName(taken_back)
+    merge.merge_states(v.spark, table, sales.DAILY_STATES, later, "sign")
+    return typed(
+        sales.daily_sales_of(v.spark.table(table)), total_revenue="decimal(22,2)", avg_order_value="decimal(18,6)", total_units="bigint"
+    )
+
+
 @query(
     "customer_summary",
     views=["discount_amount_orders"],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.checks import reports
 from millrace.checks.contracts import CONTRACTS
-from millrace.checks.suite import run_check_suite
+from millrace.checks.suite import check_states, report_of_states, run_check_suite
 from millrace.functions.dates import month_start
 from millrace.functions.money import PROCUREMENT_RATES
 from millrace.functions.text import lookup, upper_code
@@ -18,6 +18,7 @@ from millrace.registry import cleaning
 from millrace.registry.aggregates import _AGING_CTE, _ALL_BILLING, _MRR_CTE, AS_OF
 from millrace.registry.base import Inputs, query
 from millrace.registry.joins import SILVER_CTE, accounts_silver
+from millrace.sinks import scratch, tables
 
 
 def _suite(df: DataFrame, *checks: dict[str, Any]) -> DataFrame:
@@ -145,6 +146,29 @@ def _(v: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "check_by_day",
+    views=["transactions"],
+    oracle=f"""{_row("none", "null_rate", _NULL_AMOUNTS)} FROM transactions UNION ALL
+    {_row("positive", "range", "count(*) FILTER (WHERE amount < 0)")} FROM transactions UNION ALL
+    {_row("many", "row_count", "greatest(100 - count(*), 0)")} FROM transactions""",
+)
+def _(v: Inputs) -> DataFrame:
+    """Counts are saved per day; a day that is delivered again replaces its own, and no other day is read."""
+    checks = [
+        {"id": "none", "type": "null_rate", "column": "amount", "max_pct": 0},
+        {"id": "positive", "type": "range", "column": "amount", "min": 0},
+        {"id": "many", "type": "row_count", "min": 100},
+    ]
+    spec = {"checks": checks, "required": [c["id"] for c in checks]}
+    table = f"{scratch.scratch_database(v.spark)}.transactions_checked"
+    late = F.col("txn_date") > "2024-01-15"
+    parts = {"until 15": ~late | F.col("txn_date").isNull(), "after 15": late}
+    for part in ("until 15", "after 15", "until 15"):
+        tables.replace_slice(check_states(v.transactions.where(parts[part]), spec), table, "part", part)
+    return report_of_states(v.spark.table(table), v.transactions, spec)
+
+
 @query(
     "check_accepted_values",
     oracle=f"""{_row("status", "accepted_values",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.maintained import Maintained
 from millrace.sinks import staged
 from millrace.sinks.tables import SchemaChanged, _writer
 
@@ -20,16 +21,23 @@ class AmbiguousMerge(ValueError):
     """Several source rows match one target row."""
 
 
-def _refuse_ambiguous(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> None:
+def _refuse_ambiguous(target: DataFrame, source: DataFrame, keys: Sequence[str], null_keys: bool) -> None:
     """The batch is looked at first; the target is read only if keys are repeated in it."""
     repeated = source.groupBy(*keys).count().where("count > 1").drop("count")
     if repeated.isEmpty():
         return
-    sample = [tuple(r) for r in repeated.join(target, list(keys), "left_semi").take(5)]
+    sample = [tuple(r) for r in _semi(repeated, target, keys, null_keys).take(5)]
     if sample:
         raise AmbiguousMerge(f"several source rows match one target row, e.g. {keys} = {sample}")
 
 
+def _semi(rows: DataFrame, held: DataFrame, keys: Sequence[str], null_keys: bool) -> DataFrame:
+    """The rows whose key `held` has."""
+    wanted = held.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)])
+    same = [_same(F.col(k), F.col(f"__key{i}"), null_keys) for i, k in enumerate(keys)]
+    return rows.join(wanted, same, "left_semi")
+
+
 _WIDER = {
     T.ByteType: (T.ShortType, T.IntegerType, T.LongType),
     T.ShortType: (T.IntegerType, T.LongType),
@@ -59,21 +67,27 @@ def _require_same_columns(table: str, target: DataFrame, source: DataFrame) -> N
         raise SchemaChanged(f"the batch does not fit {table}: {', '.join(sorted(wrong))}")
 
 
+def _same(one: Column, other: Column, null_keys: bool) -> Column:
+    return one.eqNullSafe(other) if null_keys else one == other
+
+
 def merged(
     target: DataFrame,
     source: DataFrame,
     keys: Sequence[str],
     matched: Mapping[str, str],
     inserted: Mapping[str, str],
+    null_keys: bool = False,
 ) -> DataFrame:
     """The target after the merge, lazily.
 
     `matched` gives the new value of a column for rows on both sides, `inserted` for rows of the
-    source only, as SQL over `t.` and `s.`. Other columns keep their value, or are null when new.
+    source only, as SQL over `t.` and `s.`. Other columns keep their value, or are null when new. A null key
+    matches nothing, or with `null_keys` another null.
     """
     t = target.withColumn("__in_t", F.lit(True)).alias("t")
     s = source.withColumn("__in_s", F.lit(True)).alias("s")
-    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
+    on = [_same(F.col(f"t.{k}"), F.col(f"s.{k}"), null_keys) for k in keys]
     joined = t.join(s, on, "full_outer")
     in_t, in_s = F.col("t.__in_t").isNotNull(), F.col("s.__in_s").isNotNull()
     columns = []
@@ -94,6 +108,7 @@ def merge_into(
     keys: Sequence[str],
     matched: Mapping[str, str],
     inserted: Mapping[str, str],
+    null_keys: bool = False,
 ) -> None:
     """Apply `source` to `table`; raises before writing when a target row has several source rows.
 
@@ -120,10 +135,10 @@ def merge_into(
         how = staged.PARTITIONS if touched is not None else staged.REPLACE
         if touched is not None:
             target = target.where(touched)
-        elif (files := _touched_files(spark, table, changes, keys, gone)) is not None:
+        elif (files := _touched_files(spark, table, changes, keys, gone, null_keys)) is not None:
             target, how = target.where(F.col("_metadata.file_path").isin(files)), staged.FILES
-        _refuse_ambiguous(target, changes, keys)
-        staged.write(merged(target, changes, keys, matched, inserted), following, parts)
+        _refuse_ambiguous(target, changes, keys, null_keys)
+        staged.write(merged(target, changes, keys, matched, inserted, null_keys), following, parts)
         if how == staged.REPLACE:
             staged.finish(spark, table, following, keep=True)
         else:
@@ -147,6 +162,20 @@ def merge_upsert(spark: SparkSession, table: str, source: DataFrame, keys: Seque
     merge_into(spark, table, source, keys, every, every)
 
 
+def merge_states(spark: SparkSession, table: str, kind: Maintained, batch: DataFrame, sign: str | None = None) -> None:
+    """Add a batch to a table of maintained aggregates, creating it from the first one.
+
+    Null keys are groups like any other. Types follow the first batch's sums; a sum that outgrows them stops the merge.
+    """
+    states = kind.states(batch, sign)
+    staged.recover(spark, table)
+    if not spark.catalog.tableExists(table):
+        staged.replace(states, table)
+        return
+    new = {name: f"s.`{name}`" for name in states.columns}
+    merge_into(spark, table, states, kind.keys, kind.added(), new, null_keys=True)
+
+
 def merge_increment(
     spark: SparkSession, table: str, changes: DataFrame, key: str, balance: str, change: str
 ) -> None:
@@ -190,7 +219,7 @@ def _touched(changes: DataFrame, parts: Sequence[str]) -> Column | None:
 
 
 def _touched_files(
-    spark: SparkSession, table: str, changes: DataFrame, keys: Sequence[str], gone: str
+    spark: SparkSession, table: str, changes: DataFrame, keys: Sequence[str], gone: str, null_keys: bool
 ) -> list[str] | None:
     """The table's files that hold a key of `changes`, saved in `gone`; none for a table without files, or too many.
 
@@ -203,8 +232,9 @@ def _touched_files(
     located = spark.table(table).select(*keys, F.col("_metadata.file_path").alias("path"))
     for i, key in enumerate(keys):
         if isinstance(changes.schema[key].dataType, (T.IntegralType, T.StringType, T.DateType)) and bounds[f"least_{i}"] is not None:
-            located = located.where(F.col(key).between(bounds[f"least_{i}"], bounds[f"most_{i}"]))
-    held = located.join(changes.select(*keys), list(keys), "left_semi").select("path").distinct()
+            within = F.col(key).between(bounds[f"least_{i}"], bounds[f"most_{i}"])
+            located = located.where(within | F.col(key).isNull() if null_keys else within)
+    held = _semi(located, changes, keys, null_keys).select("path").distinct()
     staged.write(held, gone)
     names = [row["path"] for row in spark.table(gone).limit(MOST_NAMES + 1).collect()]
     if len(names) <= MOST_NAMES:

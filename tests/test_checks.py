@@ -2,12 +2,23 @@ from __future__ import annotations
 
 from datetime import date
 
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.checks import gates, reports
 from millrace.checks.contracts import CONTRACTS, contract
-from millrace.checks.suite import BadSpec, failed_required, load_spec, run_check_suite, validate_spec
+from millrace.checks.suite import (
+    BadSpec,
+    check_states,
+    failed_required,
+    load_spec,
+    report_of_states,
+    run_check_suite,
+    validate_spec,
+)
 
 
 @pytest.fixture(scope="module")
@@ -209,3 +220,22 @@ def test_checks_of_an_empty_table(spark):
     spec = {"checks": [{"id": "key", "type": "uniqueness", "columns": ["id"]}, {"id": "rows", "type": "row_count", "min": 1}]}
     got = {r["check_id"]: (r["rows_checked"], r["violations"], r["passed"]) for r in run_check_suite(spark.range(0), spec).collect()}
     assert got == {"key": (0, 0, True), "rows": (0, 1, False)}
+
+
+def test_states_of_parts_add_up_to_the_report_of_the_whole(spark):
+    rows = spark.range(50).selectExpr("id", "id % 4 AS part", "if(id % 6 = 0, null, id) AS v")
+    checks = [
+        {"id": "nulls", "type": "null_rate", "column": "v", "max_pct": 5},
+        {"id": "few nulls", "type": "null_rate", "column": "v", "max_pct": 50},
+        {"id": "range", "type": "range", "column": "v", "min": 3, "max": 40},
+        {"id": "rule", "type": "row_rule", "rule": "v < 49"},
+        {"id": "rows", "type": "row_count", "min": 51},
+        {"id": "columns", "type": "columns", "columns": ["id", "part"]},
+    ]
+    spec = {"checks": checks, "required": ["rule"]}
+    states = [check_states(rows.where(f"part = {p}"), spec) for p in range(5)]  # the last part is empty
+    every = reduce(DataFrame.unionByName, states)
+    expected = sorted(tuple(r) for r in run_check_suite(rows, spec).collect())
+    assert sorted(tuple(r) for r in report_of_states(every, rows, spec).collect()) == expected
+    with pytest.raises(BadSpec, match="added up"):
+        check_states(rows, {"checks": [{"id": "key", "type": "uniqueness", "columns": ["id"]}]})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date
 from decimal import Decimal as D
 
@@ -122,6 +123,28 @@ def test_revenue_counts_to_the_month_before_the_end(spark):
     }
 
 
+def test_revenue_by_ends_equals_every_month_listed(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(200):
+        start = date(rng.randint(2022, 2026), rng.randint(1, 12), rng.randint(1, 28))
+        end = None if rng.random() < 0.3 else date(rng.randint(2022, 2027), rng.randint(1, 12), rng.randint(1, 28))
+        rows.append((rng.choice(["GB", "US", None]), rng.choice(["a", "b"]), start, end, rng.choice([None, D("10.50"), D("3.25")])))
+    df = spark.createDataFrame(rows, "account_country string, plan_tier string, start_date date, end_date date, mrr_usd decimal(14,2)")
+    expected = {}
+    for country, tier, start, end, mrr in rows:
+        first = start.year * 12 + start.month - 1
+        last = 2026 * 12 + 8 if end is None else end.year * 12 + end.month - 2
+        for month in range(first, last + 1):
+            key = (date(month // 12, month % 12 + 1, 1), country, tier)
+            n, total = expected.get(key, (0, None))
+            expected[key] = (n + 1, total if mrr is None else (total or D(0)) + mrr)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in billing.mrr_monthly(df).collect()}
+    assert got == expected
+    plan = billing.mrr_monthly(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") > plan.index("Generate")  # months are listed after all shuffles
+
+
 @pytest.mark.parametrize(
     ("ended", "churned"),
     [("2026-08-01", 1), ("2026-10-01", 1), ("2026-10-02", 0), ("2026-11-30", 0)],

@@ -492,3 +492,31 @@ def test_a_view_of_a_copys_name_does_not_make_a_table_busy(spark, schema):
         assert spark.table(table).count() == 4
     finally:
         spark.catalog.dropTempView("t__next_0123456789ab")
+
+
+def test_day_by_day_states_equal_a_full_recompute(spark, schema, rows_of):
+    from millrace.plans import sales
+
+    rng = random.Random(4)
+    table = f"{schema}.states"
+    columns = "store_id string, product_category string, sale_date string, revenue decimal(10,2), quantity int, transaction_id string"
+
+    def row(n):
+        return (rng.choice(["a", "b", None]), rng.choice(["x", "y"]), f"2026-01-0{rng.randint(1, 3)}", rng.choice([None, "1.25", "9.10"]), rng.choice([None, 1, 5]), rng.choice([None, f"t{n}"]))
+
+    def frame(rows, sign):
+        return spark.createDataFrame(rows, columns.replace("decimal(10,2)", "string")).withColumn("revenue", F.col("revenue").cast("decimal(10,2)")).withColumn("sign", F.lit(sign))
+
+    kept = []
+    for day in range(3):
+        added = [row(10 * day + n) for n in range(20)]
+        back = [kept.pop(rng.randrange(len(kept))) for _ in range(7 if kept else 0)]
+        kept += added
+        merge.merge_states(spark, table, sales.DAILY_STATES, frame(added, 1).union(frame(back, -1)), "sign")
+    gone = [r for r in kept if r[0] is None]
+    kept = [r for r in kept if r[0] is not None]
+    merge.merge_states(spark, table, sales.DAILY_STATES, frame(gone, -1), "sign")
+    once = frame(kept, 1)
+    expected = sales.daily_sales(once).withColumn("avg_order_value", F.col("avg_order_value").cast("decimal(18,6)"))
+    got = sales.daily_sales_of(spark.table(table)).select(*[F.col(c).cast(t) for c, t in expected.dtypes])
+    assert rows_of(got) == rows_of(expected)
