@@ -407,6 +407,8 @@ def _answers(
     alone = np.bincount(own, weights=(source != own), minlength=len(kept)) == 0
     alone &= (copies == 1) & (stretches == 1)
     answer = np.flatnonzero(~alone[run] | more)
+    if not len(answer):  # all runs of the slice stand alone
+        return
     answer = answer[np.argsort(part[answer], kind="stable")]
     parts, cut = np.unique(part[answer], return_index=True)
     for p, x, y in zip(parts.tolist(), cut.tolist(), [*cut[1:].tolist(), len(answer)], strict=True):
