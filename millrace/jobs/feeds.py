@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import DataFrame
+
 from millrace.checks.gates import GateFailed, require_same_count
 from millrace.jobs.base import Store, exact_columns, exact_rows, unique
 from millrace.operators.joins import enrich, match
@@ -69,22 +71,32 @@ def journeys(store: Store, max_events: int = 10_000) -> None:
     """order_events -> customer_journeys, each customer's events in parts of bounded length."""
     events = store.read("order_events")
     parts = event_journeys(events, "customer_id", "event_seq", "payload", max_events)
-    store.publish("customer_journeys", parts, unique("customer_id", "part_no"))
-    kept = written.agg({"event_count": "sum"}).first()[0] or 0
-    if kept != events.count():
-        raise GateFailed(f"{kept} events in journeys, {events.count()} in order_events")
+
+    def complete(rows: DataFrame) -> None:
+        kept, given = rows.agg({"event_count": "sum"}).first()[0] or 0, events.count()
+        if kept != given:
+            raise GateFailed(f"{kept} events in journeys, {given} in order_events")
+
+    store.publish("customer_journeys", parts, unique("customer_id", "part_no"), audit=complete)
 
 
 def loyalty(store: Store, feed: str) -> None:
     """loyalty_customers and the vendor's parquet feed at `feed` -> loyalty_enriched, one row per customer."""
     people = store.read("loyalty_customers")
     extended = readers.scan_parquet(store.spark, feed)
-    written = store.publish(
+    store.publish(
         "loyalty_enriched", enrich(people, extended, ["customer_id"]),
         audit=lambda rows: require_same_count(rows, people),
     )
 
 
-def audit_snapshot(store: Store) -> None:
-    """audit_grants appended to audit_trail_snapshot, a table of the store's own schema."""
-    tables.append(store.read("audit_grants"), store.name("audit_trail_snapshot"))
+def audit_snapshot(store: Store, run: str | None = None) -> None:
+    """audit_grants appended to audit_trail_snapshot, a table of the store's own schema.
+
+    With the name of a `run`, its snapshot is kept under it, and a rerun replaces that instead of adding another.
+    """
+    grants, table = store.read("audit_grants"), store.name("audit_trail_snapshot")
+    if run is None:
+        tables.append(grants, table)
+    else:
+        tables.replace_slice(grants, table, "run", run)

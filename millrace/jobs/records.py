@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.checks.gates import (
@@ -75,17 +76,19 @@ def supplier_spend(store: Store) -> None:
         never_null("amount_usd"),
         audit=lambda rows: require_same_count(rows, raw.select(F.trim("po_id")).distinct()),
     )
-    spend = store.publish(
-        "sp_spend_by_country",
-        procurement.spend_by_country(orders, suppliers),
-        exact_columns(procurement.SPEND_COLUMNS),
-    )
     live = orders.where(F.col("status") != "cancelled")
     count = F.count(F.lit(1))
-    require_equal_totals(spend, F.sum("suppliers_count"), suppliers, count)
     total = F.coalesce(F.sum("amount_usd"), F.lit(0))
-    require_totals(
-        spend, live, orders=(F.sum("po_count"), count), spend=(F.sum("total_spend_usd"), total)
+
+    def agrees(spend: DataFrame) -> None:
+        require_equal_totals(spend, F.sum("suppliers_count"), suppliers, count)
+        require_totals(spend, live, orders=(F.sum("po_count"), count), spend=(F.sum("total_spend_usd"), total))
+
+    store.publish(
+        "sp_spend_by_country",
+        procurement.spend_by_country(orders, suppliers),
+        exact_columns(procurement.SPEND_COLUMNS),
+        audit=agrees,
     )
 
 
@@ -104,12 +107,15 @@ def carrier_sla(store: Store) -> None:
         known("carrier", list(PROMISED_DAYS)),
         audit=lambda rows: require_no_orphans(rows, store.read("sd_warehouses"), ["warehouse_id"]),
     )
-    report = store.publish("sd_carrier_sla", shipping.carrier_sla(shipments))
-    require_totals(
-        report,
-        shipments,
-        shipments=(F.sum("shipments_count"), F.count(F.lit(1))),
-        freight=(F.sum("total_freight_usd"), F.sum("freight_usd")),
+    store.publish(
+        "sd_carrier_sla",
+        shipping.carrier_sla(shipments),
+        audit=lambda rows: require_totals(
+            rows,
+            shipments,
+            shipments=(F.sum("shipments_count"), F.count(F.lit(1))),
+            freight=(F.sum("total_freight_usd"), F.sum("freight_usd")),
+        ),
     )
 
 
@@ -133,14 +139,17 @@ def country_revenue(store: Store) -> None:
         *_CODE,
         audit=lambda rows: require_no_orphans(rows, people, ["customer_id"]),
     )
-    report = store.publish(
-        "cc_revenue_by_country", country.country_revenue(orders), unique("country"), *_CODE
-    )
-    require_totals(
-        report,
-        orders,
-        revenue=(F.sum("revenue"), F.sum("amount")),
-        orders=(F.sum("orders_count"), F.count(F.lit(1))),
+    store.publish(
+        "cc_revenue_by_country",
+        country.country_revenue(orders),
+        unique("country"),
+        *_CODE,
+        audit=lambda rows: require_totals(
+            rows,
+            orders,
+            revenue=(F.sum("revenue"), F.sum("amount")),
+            orders=(F.sum("orders_count"), F.count(F.lit(1))),
+        ),
     )
 
 
@@ -161,15 +170,18 @@ def country_revenue_v2(store: Store) -> None:
         *_CODE,
         audit=lambda rows: require_no_orphans(rows, people, ["customer_id"]),
     )
-    report = store.publish(
-        "cc2_revenue_by_country", country.country_revenue_v2(orders), unique("country"), *_CODE
-    )
-    require_totals(
-        report,
-        orders,
-        revenue=(F.sum("revenue"), F.sum("amount")),
-        orders=(F.sum("orders_count"), F.count(F.lit(1))),
-        quantity=(F.sum("total_quantity"), F.sum("quantity")),
+    store.publish(
+        "cc2_revenue_by_country",
+        country.country_revenue_v2(orders),
+        unique("country"),
+        *_CODE,
+        audit=lambda rows: require_totals(
+            rows,
+            orders,
+            revenue=(F.sum("revenue"), F.sum("amount")),
+            orders=(F.sum("orders_count"), F.count(F.lit(1))),
+            quantity=(F.sum("total_quantity"), F.sum("quantity")),
+        ),
     )
 
 

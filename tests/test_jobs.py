@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.__main__ import main
 from millrace.checks.gates import GateFailed
 from millrace.jobs import JOBS
-from millrace.jobs.base import Store
+from millrace.jobs.base import Store, unique
 from millrace.registry.base import Inputs
 from millrace.sources.readers import typed_rows
 
@@ -331,3 +331,28 @@ def test_items_catalogue_loyalty_journeys_and_audit(store, tmp_path):
     save(store, order_headers=headers.where("order_id > 0"))
     with pytest.raises(GateFailed, match="expected"):
         JOBS["order_items"](store)
+
+
+def test_rows_that_fail_a_gate_are_never_published(spark, schema):
+    store = Store(spark, schema)
+    good = spark.createDataFrame([(1, "a")], "id int, v string")
+    store.publish("t", good, unique("id"))
+
+    def refuse(rows):
+        raise GateFailed("no")
+
+    for bad, checks, audit in ((good.union(good), [unique("id")], None), (good.limit(0), [], refuse)):
+        with pytest.raises(GateFailed):
+            store.publish("t", bad, *checks, audit=audit)
+        assert store.read("t").collect() == good.collect()
+    assert [t.name for t in spark.catalog.listTables(schema)] == ["t"]
+
+
+def test_a_snapshot_of_a_run_is_kept_once(spark, schema):
+    from millrace.jobs import feeds
+
+    spark.range(3).write.saveAsTable(f"{schema}.audit_grants")
+    for run in ("r1", "r2", "r1"):
+        feeds.audit_snapshot(Store(spark, schema), run)
+    counts = spark.table(f"{schema}.audit_trail_snapshot").groupBy("run").count().collect()
+    assert sorted(tuple(r) for r in counts) == [("r1", 3), ("r2", 3)]
