@@ -33,6 +33,9 @@ EDITS = 0.08
 SHORTEST = 30
 BLOCK_BYTES = 1 << 20
 FILTER_BITS = 22
+#: Pairs of q-grams counted, and windows aligned, at once.
+PAIRS = 1 << 20
+WINDOWS = 1 << 13
 LEAKS = "doc_id long, item_id long, probes long, distance long, place long"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,8 +61,8 @@ def _slots(codes: np.ndarray) -> np.ndarray:
 class ProbeIndex:
     """Probes of a block of items, and which of their q-grams stand where."""
 
-    items: np.ndarray  # item number of each probe
-    texts: list[bytes]
+    items: list[dict[int, int]]  # of each probe: the numbers of its items, and how often it stands in each
+    texts: list[bytes]  # different ones
     lengths: np.ndarray
     budgets: np.ndarray
     least: np.ndarray  # shared q-grams that a region needs
@@ -70,15 +73,17 @@ class ProbeIndex:
 
     @staticmethod
     def build(texts: list[str | None]) -> ProbeIndex:
-        items, probes = [], []
+        owners: dict[bytes, dict[int, int]] = {}
         for number, text in enumerate(texts):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             plain = normalise(_LOWER[raw], np.array([0, len(raw)]))[0].tobytes().strip(b" ")
             if len(plain) < SHORTEST:
                 continue
             starts = sorted({*range(0, len(plain) - PROBE, STRIDE), max(0, len(plain) - PROBE)})
-            probes += [plain[s : s + PROBE] for s in starts]
-            items += [number] * len(starts)
+            for start in starts:
+                own = owners.setdefault(plain[start : start + PROBE], {})
+                own[number] = own.get(number, 0) + 1
+        probes = list(owners)
         lengths = np.array([len(p) for p in probes], np.int64)
         budgets = (lengths * EDITS).astype(np.int64)
         grams = [gram_codes(np.frombuffer(p, np.uint8)) for p in probes]
@@ -88,7 +93,7 @@ class ProbeIndex:
         order = np.argsort(codes, kind="stable")
         distinct, first = np.unique(codes[order], return_index=True)
         return ProbeIndex(
-            np.array(items, np.int64), probes, lengths, budgets, lengths - Q + 1 - Q * budgets, distinct,
+            list(owners.values()), probes, lengths, budgets, lengths - Q + 1 - Q * budgets, distinct,
             np.append(first, len(codes)), probe[order], place[order],
         )
 
@@ -117,6 +122,29 @@ def banded_distance(probe: np.ndarray, windows: np.ndarray, valid: np.ndarray) -
     return row[np.arange(len(row)), ends], ends + m
 
 
+def _band_counts(
+    index: ProbeIndex, hits: np.ndarray, at: np.ndarray, text: np.ndarray, half: int, bands: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Shared q-grams per text, probe and half band of diagonals, as ascending keys and their counts.
+
+    A q-gram that repeats in a text and in a probe pairs each place with each, so pairs are counted a bounded number at a time.
+    """
+    many = index.first[at + 1] - index.first[at]
+    upto = np.cumsum(many)
+    cuts = np.unique(np.searchsorted(upto, np.arange(0, int(many.sum()) + PAIRS, PAIRS)))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, hi in zip(cuts, [*cuts[1:], len(many)], strict=True):
+        part = many[lo:hi]
+        entry = np.repeat(index.first[at[lo:hi]] - np.cumsum(part) + part, part) + np.arange(part.sum())
+        diagonal = np.repeat(hits[lo:hi], part) - index.place[entry] + PROBE  # never negative
+        owner = np.repeat(text[lo:hi], part) * len(index.texts) + index.probe[entry]
+        found.append(np.unique(owner * bands + diagonal // half, return_counts=True))
+    if len(found) == 2:
+        return found[1]
+    keys, which = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return keys, np.bincount(which, weights=np.concatenate([f[1] for f in found]), minlength=len(keys)).astype(np.int64)
+
+
 def find_regions(index: ProbeIndex, raw: np.ndarray, raw_offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Matching (text, probe, distance, place in the normalised text) of a block."""
     data, offsets = normalise(_LOWER[raw], raw_offsets)
@@ -133,15 +161,9 @@ def find_regions(index: ProbeIndex, raw: np.ndarray, raw_offsets: np.ndarray) ->
     text = np.searchsorted(offsets, hits, side="right") - 1
     inside = hits + Q <= offsets[text + 1]
     hits, at, text = hits[inside], at[inside], text[inside]
-    many = index.first[at + 1] - index.first[at]
-    entry = np.repeat(index.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    probe = index.probe[entry]
-    diagonal = np.repeat(hits, many) - index.place[entry] + PROBE  # never negative
-    text = np.repeat(text, many)
-
     half = int(PROBE * EDITS) + 1
     bands = int((len(data) + 2 * PROBE) // half + 2)
-    keys, counts = np.unique((text * len(index.texts) + probe) * bands + diagonal // half, return_counts=True)
+    keys, counts = _band_counts(index, hits, at, text, half, bands)
     if not len(keys):
         return nothing
     both = counts.copy()
@@ -160,14 +182,15 @@ def find_regions(index: ProbeIndex, raw: np.ndarray, raw_offsets: np.ndarray) ->
         start = band[mine] * half - PROBE - edits
         size = m + 2 * half + 2 * edits
         for number in np.unique(probe[mine]).tolist():
-            own = mine[probe[mine] == number]
-            begin = start[probe[mine] == number]
-            places = begin[:, None] + np.arange(size)
-            valid = (places >= offsets[text[own]][:, None]) & (places < offsets[text[own] + 1][:, None])
-            windows = data[np.clip(places, 0, len(data) - 1)]
-            distance, end = banded_distance(np.frombuffer(index.texts[number], np.uint8), windows, valid)
-            good = distance <= edits
-            out.append((text[own][good], np.full(good.sum(), number), distance[good], begin[good] + end[good] - offsets[text[own][good]]))
+            every = np.flatnonzero(probe[mine] == number)
+            for lo in range(0, len(every), WINDOWS):
+                own, begin = mine[every[lo : lo + WINDOWS]], start[every[lo : lo + WINDOWS]]
+                places = begin[:, None] + np.arange(size)
+                valid = (places >= offsets[text[own]][:, None]) & (places < offsets[text[own] + 1][:, None])
+                windows = data[np.clip(places, 0, len(data) - 1)]
+                distance, end = banded_distance(np.frombuffer(index.texts[number], np.uint8), windows, valid)
+                good = distance <= edits
+                out.append((text[own][good], np.full(good.sum(), number), distance[good], begin[good] + end[good] - offsets[text[own][good]]))
     return tuple(np.concatenate([o[k] for o in out]) for k in range(4)) if out else nothing
 
 
@@ -195,8 +218,9 @@ def _searcher(index: ProbeIndex, item_ids: list[int | None]):
                 best: dict[tuple[int, int], list[int]] = {}
                 seen = set()
                 for t, p, d, at in sorted(zip(text.tolist(), probe.tolist(), distance.tolist(), place.tolist(), strict=True), key=lambda r: (r[2], r[3])):
-                    row = best.setdefault((t, int(index.items[p])), [0, d, at])
-                    row[0] += (t, p) not in seen
+                    for item, times in index.items[p].items():
+                        row = best.setdefault((t, item), [0, d, at])
+                        row[0] += times if (t, p) not in seen else 0
                     seen.add((t, p))
                 columns = [[item_ids[i] for _, i in best], *([v[k] for v in best.values()] for k in range(3))]
                 ids = batch.column(0).take(pa.array([lo + t for t, _ in best]))

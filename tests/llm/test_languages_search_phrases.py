@@ -279,3 +279,35 @@ def test_queries_equal_their_sql(spark):
 
 def test_held_out_rows_without_id(spark):
     assert spark.range(1).select((F.crc32(F.lit("").cast("binary")) % 3 == 1).alias("x")).first().x is False
+
+
+# Leaks in texts that repeat themselves
+
+
+def test_a_text_of_one_repeated_character_is_searched_in_bounded_memory():
+    import tracemalloc
+
+    from millrace.llm import leaks
+
+    index = leaks.ProbeIndex.build(["_" * 300, "abc def " * 20, None])
+    assert index.items[0] == {0: 7}  # one probe, however often it stands in its item
+    texts = ["_" * 60_000, "abc def " * 30, "_" * 70]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    tracemalloc.start()
+    text, probe, distance, place = leaks.find_regions(index, data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    own = (text == 0) & (probe == 0)
+    assert (distance[own].min(), place[own & (distance == 0)].min()) == (0, 80)
+    assert set(text[distance == 0].tolist()) == {0, 1} and not (text == 2).any()
+
+
+def test_probes_of_an_item_are_counted_with_their_repeats(spark):
+    from millrace.llm import leaks
+
+    docs = spark.createDataFrame(fixtures.rows([(1, "x " + "_" * 500), (2, "nothing"), (3, None)]), fixtures.SCHEMA)
+    items = spark.createDataFrame([(8, "_" * 300, 1.0, "x"), (9, "_" * 300, 1.0, "x"), (10, "", 1.0, "x")], ITEMS)
+    out = sorted(tuple(r)[:4] for r in leaks.find_leaks(docs, items).collect())
+    assert out == [(1, 8, 7, 0), (1, 9, 7, 0)]
