@@ -24,7 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+    master = spark.conf.get("spark.master", None) or ""
+    if master != "local" and not master.startswith("local["):  # executors of local-cluster are processes of their own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="millrace-")
 

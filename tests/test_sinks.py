@@ -95,6 +95,15 @@ def test_a_session_that_hides_its_master_is_no_local_one():
         scratch.shared_folder(Hidden)
 
 
+@pytest.mark.parametrize("master", ["local-cluster[3,2,1024]", "spark://host:7077", "yarn"])
+def test_a_cluster_needs_a_shared_folder(master):
+    class Cluster:
+        conf = {"spark.master": master}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_folder(Cluster)
+
+
 def test_a_missing_feed_is_named(spark, tmp_path):
     with pytest.raises(readers.FeedMissing, match="nowhere"):
         readers.scan_parquet(spark, str(tmp_path / "nowhere"))
