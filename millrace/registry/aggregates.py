@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import distincts
 from millrace.operators.keyed import net_changes
 from millrace.plans import accounts, billing, country, orders, procurement, reconcile, sales, shipping
 from millrace.registry import cleaning
@@ -121,6 +122,39 @@ def _(v: Inputs) -> DataFrame:
     return country.country_revenue_v2(country.country_orders_v2(v.country_orders_raw))
 
 
+@query(
+    "customers_rolled_up",
+    views=["country_orders_raw"],
+    oracle=f""", {cleaning.ORDERS_CTE} SELECT CAST(2 - grouping(country) - grouping(channel) AS INTEGER) AS level,
+      country, channel, count(DISTINCT customer_id) AS customers_count
+    FROM coded_orders GROUP BY ROLLUP (country, channel)""",
+)
+def _(v: Inputs) -> DataFrame:
+    """Kept sets of customers, to which two deliveries were added, the first of them twice."""
+    place = scratch.scratch_database(v.spark)
+    states, numbers, keys = f"{place}.customer_sets", f"{place}.customer_numbers", ["country", "channel"]
+    rows = country.country_orders_v2(v.country_orders_raw)
+    early = F.col("ordered_on") < "1995-01-01"
+    for delivery in (rows.where(early), rows.where(~early), rows.where(early)):
+        distincts.add_distincts(v.spark, states, numbers, delivery, keys, "customer_id")
+    distincts.compact_distincts(v.spark, states, keys)
+    return distincts.distinct_levels(v.spark.table(states), keys, "customers_count")
+
+
+@query(
+    "owner_teams_rolled_up",
+    views=["crm_accounts_raw", "crm_tiers_raw"],
+    oracle=f""", {SILVER_CTE} SELECT CAST(2 - grouping(industry) - grouping(billing_country) AS INTEGER) AS level,
+      industry, billing_country, count(DISTINCT region_owner_team) AS region_owner_teams
+    FROM accounts_silver WHERE region_owner_team IS NOT NULL GROUP BY ROLLUP (industry, billing_country)""",
+)
+def _(v: Inputs) -> DataFrame:
+    place = scratch.scratch_database(v.spark)
+    states, numbers, keys = f"{place}.team_sets", f"{place}.team_numbers", ["industry", "billing_country"]
+    distincts.add_distincts(v.spark, states, numbers, accounts_silver(v), keys, "region_owner_team")
+    return distincts.distinct_levels(v.spark.table(states), keys, "region_owner_teams")
+
+
 @query(
     "carrier_sla",
     views=["carrier_feed"],
