@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.skew import RANK, rank_rows
+from millrace.operators.skew import ORDER, PLACE, order_rows
 
 BLOCK_ROWS = 1_000_000
 
@@ -31,21 +31,20 @@ def rolling_rows(
     """Metrics over the current row and the `rows - 1` before it, per `key` in `day` order.
 
     `tie_break` orders the rows of one day; all other columns follow, so a rerun gives the same
-    frames. Rows are numbered within their key and framed in blocks of `block_rows` numbers, each
-    block starting with copies of the `rows - 1` rows before it; its size does not change a frame.
+    frames. A key whose rows lie in several ordered partitions is framed in blocks of `block_rows` of its
+    rows, each block starting with copies of the `rows - 1` rows before it; its size does not change a
+    frame.
     """
     if not 1 < rows <= block_rows:
         raise ValueError("rows must be at least 2 and at most block_rows")
-    numbered = rank_rows(df, key, [day, *tie_break])
-    place = F.col(RANK) - 1
-    feeds_next = place % block_rows > block_rows - rows
+    ordered = order_rows(df, key, [day, *tie_break])
+    feeds_next = F.col(PLACE) % block_rows > block_rows - rows
     copies = F.when(feeds_next, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    blocks = numbered.withColumn("__copy", F.explode(copies)).withColumn(
-        "__block", F.floor(place / block_rows) + F.col("__copy").cast("int")
-    )
-    frame = Window.partitionBy(key, "__block").orderBy(RANK).rowsBetween(-(rows - 1), 0)
+    block = F.coalesce(F.floor(F.col(PLACE) / block_rows), F.lit(0)) + F.col("__copy").cast("int")
+    blocks = ordered.withColumn("__copy", F.explode(copies)).withColumn("__block", block)
+    frame = Window.partitionBy(key, "__block").orderBy(ORDER).rowsBetween(-(rows - 1), 0)
     framed = _with_metrics(blocks, F.sum(amount).over(frame), F.count(amount).over(frame))
-    return framed.where(~F.col("__copy")).drop("__copy", "__block", RANK)
+    return framed.where(~F.col("__copy")).drop("__copy", "__block", PLACE, ORDER)
 
 
 def rolling_days(df: DataFrame, key: str, day: str, amount: str, days: int = 7) -> DataFrame:

@@ -9,42 +9,42 @@ from pyspark.sql import functions as F
 
 from millrace.sinks.scratch import scratch_path
 
-RANK = "__rank"
-BLOCK = "__block"
-
-
-def rank_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Row number of every row within its key, as column `__rank`, in order of `order`, nulls first.
-
-    One path for every key, busy or not: rows are range-partitioned by the key, the order columns and then
-    all others, so that a key's rows lie in consecutive partitions however many it has. A row's number
-    is its place in its partition plus the key's rows in earlier ones, which come from a count per
-    key and partition. The partitioned rows are saved in the shared folder with the number of their
-    partition, so the count and the numbering see the same partitions. Order columns must be sortable;
-    of the others, those that are not (maps) are left out of the tie-break.
+PLACE = "__place"
+ORDER = "__order"
+#: `monotonically_increasing_id` holds the partition above these bits and the row within it below.
+_ROW_BITS = 33
+
+
+def order_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Number the rows by key and then `order`, nulls first, and place those of keys that one task can't hold.
+
+    One path for every key, busy or not: rows are range-partitioned and sorted by the key, the order columns and
+    then all others, and saved in the shared folder with a number that grows in that order (`__order`). A key that
+    lies in one partition needs nothing more: a window over it is no larger than that partition, and `__place` is
+    null. Only the first and last key of a partition can lie in others too. Their rows get their place within the
+    key, from 0, as `__place`: the row's distance from the key's first one in the partition, and the key's rows in
+    earlier partitions. At most two such keys per partition are shipped, and no row is shuffled again. Order
+    columns must be sortable; of the others, those that are not (maps) are left out of the tie-break.
     """
     spark = df.sparkSession
     kinds = dict(df.dtypes)
     rest = [c for c in df.columns if c != key and c not in order and "map<" not in kinds[c]]
-    sorting = [F.col(c).asc_nulls_first() for c in [*order, *rest]]
+    sorting = [F.col(c).asc_nulls_first() for c in [key, *order, *rest]]
     place = scratch_path(spark, "ordered")
-    ranged = df.repartitionByRange(F.col(key).asc_nulls_first(), *sorting)
-    ranged.withColumn(BLOCK, F.spark_partition_id()).write.parquet(place)
-    blocks = spark.read.schema(ranged.withColumn(BLOCK, F.lit(0)).schema).parquet(place)
-
-    earlier = (
-        Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sizes = blocks.groupBy(key, BLOCK).agg(F.count("*").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0))
-    offsets = sizes.select(F.col(key).alias("__k"), F.col(BLOCK).alias("__b"), before.alias("__before"))
-    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col(BLOCK) == F.col("__b"))
-    within = Window.partitionBy(key, BLOCK).orderBy(*sorting)
-    return (
-        blocks.join(offsets, same)
-        .withColumn(RANK, F.col("__before") + F.row_number().over(within))
-        .drop(BLOCK, "__k", "__b", "__before")
-    )
+    ordered = df.repartitionByRange(*sorting).sortWithinPartitions(*sorting).withColumn(ORDER, F.monotonically_increasing_id())
+    ordered.write.parquet(place)
+    saved = spark.read.schema(ordered.schema).parquet(place)
+
+    block = F.shiftright(ORDER, _ROW_BITS)
+    keys = saved.select(F.col(key).alias("__k"), ORDER, block.alias("__b"))
+    sizes = keys.groupBy("__k", "__b").agg(F.count("*").alias("__size"), F.min(ORDER).alias("__first"))
+    of_key = Window.partitionBy("__k")
+    earlier = F.sum("__size").over(of_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    shift = F.coalesce(earlier, F.lit(0)) - F.col("__first")
+    found = sizes.select("__k", "__b", shift.alias("__shift"), F.count("*").over(of_key).alias("__parts"))
+    placed = found.where("__parts > 1").drop("__parts")
+    same = F.col(key).eqNullSafe(F.col("__k")) & (block == F.col("__b"))
+    return saved.join(F.broadcast(placed), same, "left").withColumn(PLACE, F.col(ORDER) + F.col("__shift")).drop("__k", "__b", "__shift")
 
 
 #: A key with more fact rows than this is spread over the tasks; at most `HOT_KEYS` keys are, the busiest.

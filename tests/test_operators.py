@@ -223,3 +223,61 @@ def test_journeys_keep_every_event_in_order(spark, partitions):
     for c, _, payload in sorted(rows, key=lambda r: (r[1], r[2])):
         expected[c].append(payload)
     assert full == expected
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Small tables stay dealt over eight partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+
+
+def test_only_keys_of_several_partitions_are_placed(spark, many_partitions):
+    rng = random.Random(5)
+    rows = [(rng.choice(["HOT"] * 5 + ["A", "B", "C", "D", None]), rng.randint(0, 9), i) for i in range(400)]
+    found = skew.order_rows(spark.createDataFrame(rows, "k string, o int, id int"), "k", ["o"]).collect()
+    assert len(found) == 400
+    blocks, places = defaultdict(set), defaultdict(list)
+    for r in sorted(found, key=lambda r: r[skew.ORDER]):
+        blocks[r["k"]].add(r[skew.ORDER] >> 33)
+        places[r["k"]].append((r[skew.PLACE], r["o"], r["id"]))
+    assert len(blocks["HOT"]) > 1 and any(len(b) == 1 for b in blocks.values())
+    for k, listed in places.items():
+        wanted = range(len(listed)) if len(blocks[k]) > 1 else [None] * len(listed)
+        assert [p for p, _, _ in listed] == list(wanted)
+        assert [r[1:] for r in listed] == sorted(r[1:] for r in listed)
+
+
+@pytest.mark.parametrize("block", [7, 20, 1000])
+def test_frames_and_journeys_of_keys_in_several_partitions(spark, many_partitions, block):
+    rows = sales_rows(8, 400)
+    sales = spark.createDataFrame(rows, SALES)
+    framed = rolling.rolling_rows(sales, "store_id", "day", "revenue", 7, ["id"], block).collect()
+    assert {r["id"]: (r["rolling_revenue"], r["rolling_order_count"]) for r in framed} == brute_rolling_rows(rows, 7)
+    events = [(None if i % 3 else i % 11, i // 2, f"p{i:03}") for i in range(400)]
+    parts = journeys.event_journeys(spark.createDataFrame(events, "c int, seq int, payload string"), "c", "seq", "payload", block).collect()
+    whole = defaultdict(list)
+    for r in sorted(parts, key=lambda r: r["part_no"]):
+        assert r["event_count"] == len(r["events"]) <= block
+        whole[r["c"]] += r["events"]
+    expected = defaultdict(list)
+    for c, _, payload in events:
+        expected[c].append(payload)
+    assert whole == expected
+    for c, n in ((c, len(e)) for c, e in expected.items()):
+        assert sorted(r["part_no"] for r in parts if r["c"] == c) == list(range(-(-n // block)))
+
+
+def test_ordered_work_is_shuffled_once_after_it_is_ordered(spark):
+    sales = spark.createDataFrame(sales_rows(8, 50), SALES)
+    framed = rolling.rolling_rows(sales, "store_id", "day", "revenue", 7, ["id"])
+    parts = journeys.event_journeys(sales, "store_id", "id", "day", 5)
+    for df in (framed, parts):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # The facts' only exchange; those over `__b` and `__k` hold a row per key and partition.
+        assert sum("hashpartitioning(store_id" in line for line in plan.splitlines()) == 1, plan
+        assert "SortMergeJoin" not in plan
