@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.checks.gates import require_known
 from millrace.functions.countries import iso_country
 from millrace.functions.money import mean_decimal
+from millrace.operators.maintained import ROWS, Maintained
 
 # Columns of the published tables, in order.
 CUSTOMER_COLUMNS = ["customer_id", "customer_name", "country", "signed_up_on"]
@@ -82,6 +83,16 @@ def country_revenue(orders: DataFrame) -> DataFrame:
     )
 
 
+#: Orders and revenue per country as states that batches and their corrections are added to.
+REVENUE_STATES = Maintained(keys=["country"], sums={"revenue_sum": "amount"}, counts={})
+
+
+def country_revenue_of(states: DataFrame) -> DataFrame:
+    """Orders and revenue per country, from their states."""
+    revenue = REVENUE_STATES.total("revenue_sum").cast("decimal(14,2)")
+    return REVENUE_STATES.report(states, F.col(ROWS).alias("orders_count"), revenue.alias("revenue"))
+
+
 def country_revenue_v2(orders: DataFrame) -> DataFrame:
     return orders.groupBy("country").agg(
         F.count("*").alias("orders_count"),

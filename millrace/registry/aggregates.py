@@ -98,16 +98,29 @@ def _(v: Inputs) -> DataFrame:
     )
 
 
-@query(
-    "country_revenue",
-    views=["country_orders_raw"],
-    oracle=f""", {cleaning.ORDERS_CTE} SELECT country, count(*) AS orders_count,
-      CAST(sum(amount) AS DECIMAL(14,2)) AS revenue FROM coded_orders GROUP BY country""",
-)
+_COUNTRY_REVENUE = f""", {cleaning.ORDERS_CTE} SELECT country, count(*) AS orders_count,
+      CAST(sum(amount) AS DECIMAL(14,2)) AS revenue FROM coded_orders GROUP BY country"""
+
+
+@query("country_revenue", views=["country_orders_raw"], oracle=_COUNTRY_REVENUE)
 def _(v: Inputs) -> DataFrame:
     return country.country_revenue(country.country_orders(v.country_orders_raw))
 
 
+@query("country_revenue_maintained", views=["country_orders_raw"], oracle=_COUNTRY_REVENUE)
+def _(v: Inputs) -> DataFrame:
+    """Two deliveries; the first holds some orders twice, which the second takes back."""
+    table = f"{scratch.scratch_database(v.spark)}.country_revenue_states"
+    rows = country.country_orders(v.country_orders_raw).withColumn("sign", F.lit(1))
+    early = F.col("ordered_on") < "1995-01-01"
+    first = rows.where(early)
+    twice = first.where(F.pmod(F.hash("order_id"), F.lit(10)) == 0)
+    merge.merge_states(v.spark, table, country.REVENUE_STATES, first.unionByName(twice), "sign")
+    later = rows.where(~early).unionByName(twice.withColumn("sign", F.lit(-1)))
+    merge.merge_states(v.spark, table, country.REVENUE_STATES, later, "sign")
+    return country.country_revenue_of(v.spark.table(table))
+
+
 @query(
     "country_revenue_v2",
     views=["country_orders_raw"],

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import joins
 from millrace.plans import accounts, billing, customers, orders, products
 from millrace.registry.base import Inputs, query, typed
+from millrace.sinks import scratch, tables
 
 
 @query(
@@ -147,21 +148,35 @@ def _(v: Inputs) -> DataFrame:
     return joins.enrich_small(people, nations, ["nation_id"])
 
 
-@query(
-    "order_items_join",
-    oracle="""SELECT o_orderkey AS order_id, o_custkey AS customer_id, l_linenumber AS line_number,
-      l_partkey AS product_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
-)
-def _(v: Inputs) -> DataFrame:
-    headers = v.table("orders").select(
-        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id")
-    )
-    items = v.table("lineitem").select(
+_ORDER_ITEMS = """SELECT o_orderkey AS order_id, o_custkey AS customer_id, l_linenumber AS line_number,
+      l_partkey AS product_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
+
+
+def _headers(v: Inputs) -> DataFrame:
+    return v.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
+
+
+def _items(v: Inputs) -> DataFrame:
+    return v.table("lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_number"),
         F.col("l_partkey").alias("product_id"),
     )
-    return joins.keyed_join(headers, items, ["order_id"])
+
+
+@query("order_items_join", oracle=_ORDER_ITEMS)
+def _(v: Inputs) -> DataFrame:
+    return joins.keyed_join(_headers(v), _items(v), ["order_id"])
+
+
+@query("order_items_stored", oracle=_ORDER_ITEMS)
+def _(v: Inputs) -> DataFrame:
+    """The same join of tables that are stored by order: this and every later one reads them without a shuffle."""
+    place = scratch.scratch_database(v.spark)
+    buckets = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    tables.overwrite_bucketed(_headers(v), f"{place}.order_headers", ["order_id"], buckets)
+    tables.overwrite_bucketed(_items(v), f"{place}.order_items", ["order_id"], buckets)
+    return joins.keyed_join(v.spark.table(f"{place}.order_headers"), v.spark.table(f"{place}.order_items"), ["order_id"])
 
 
 @query(

@@ -115,7 +115,8 @@ def merge_into(
     The table keeps its partitioning, comments and properties. If its partition columns are part of the
     key, only the partitions that the source names are read and rewritten. Otherwise the keys are looked up in
     the table, only the files that hold one of the batch are read as a whole and replaced, and new keys come in a file of their
-    own. With more than `MOST_NAMES` such partitions or files, or a table without files, the whole table is rewritten.
+    own. With more than `MOST_NAMES` such partitions or files, a bucketed table or one without files, the whole table is
+    rewritten; buckets stay.
 
     The source is computed once, into `<table>__batch_<run>`. The merged rows are complete in
     `<table>__next_<run>` (and the names of the files they replace in `<table>__gone_<run>`) before the table is
@@ -124,6 +125,7 @@ def merge_into(
     """
     staged.refuse_if_busy(spark, table)
     parts = staged.partitioning(spark, table)
+    buckets = None if parts else staged.bucketing(spark, table)
     run = staged.new_run()
     batch, following = f"{table}__batch_{run}", f"{table}__next_{run}"
     gone = staged.gone_beside(following)
@@ -135,10 +137,10 @@ def merge_into(
         how = staged.PARTITIONS if touched is not None else staged.REPLACE
         if touched is not None:
             target = target.where(touched)
-        elif (files := _touched_files(spark, table, changes, keys, gone, null_keys)) is not None:
+        elif buckets is None and (files := _touched_files(spark, table, changes, keys, gone, null_keys)) is not None:
             target, how = target.where(F.col("_metadata.file_path").isin(files)), staged.FILES
         _refuse_ambiguous(target, changes, keys, null_keys)
-        staged.write(merged(target, changes, keys, matched, inserted, null_keys), following, parts)
+        staged.write(merged(target, changes, keys, matched, inserted, null_keys), following, parts, buckets)
         if how == staged.REPLACE:
             staged.finish(spark, table, following, keep=True)
         else:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,13 @@ KINDS = ("next", "batch", "gone")
 Audit = Callable[[DataFrame], None]
 
 
+class Buckets(NamedTuple):
+    """Rows dealt into `number` files by a hash of `keys`, each file sorted by them."""
+
+    keys: list[str]
+    number: int
+
+
 class TableBusy(RuntimeError):
     """Another run writes the table, or one that stopped left its unfinished copy."""
 
@@ -48,6 +56,15 @@ def partitioning(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
+def bucketing(spark: SparkSession, table: str) -> Buckets | None:
+    """How the rows of a stored table are dealt by key, if they are."""
+    keys = [c.name for c in spark.catalog.listColumns(table) if c.isBucket]
+    if not keys:
+        return None
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+    return Buckets(keys, int(described["data_type"]))
+
+
 def refuse_if_busy(spark: SparkSession, table: str) -> None:
     """Finish what a stopped run decided; refuse when unfinished copies remain (see `abandon`)."""
     recover(spark, table)
@@ -63,7 +80,12 @@ def abandon(spark: SparkSession, table: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def write(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
+def write(df: DataFrame, table: str, partition_by: Sequence[str] = (), buckets: Buckets | None = None) -> None:
+    if buckets is not None:
+        # Dealt as the files are, so that a bucket is one file.
+        dealt = df.repartition(buckets.number, *buckets.keys).write.mode("overwrite")
+        dealt.bucketBy(buckets.number, *buckets.keys).sortBy(*buckets.keys).saveAsTable(table)
+        return
     # One task per partition value would follow the data's skew: let Spark balance the files.
     if partition_by:
         df = df.hint("rebalance", *partition_by)
@@ -160,7 +182,12 @@ def keep_properties(spark: SparkSession, table: str, values: dict[str, str]) ->
 
 
 def replace(
-    df: DataFrame, table: str, partition_by: Sequence[str] = (), keep: bool = False, audit: Audit | None = None
+    df: DataFrame,
+    table: str,
+    partition_by: Sequence[str] = (),
+    keep: bool = False,
+    audit: Audit | None = None,
+    buckets: Buckets | None = None,
 ) -> None:
     """Put the rows of `df`, which may read the table itself, in the table's place.
 
@@ -171,7 +198,7 @@ def replace(
     refuse_if_busy(spark, table)
     following = f"{table}__next_{new_run()}"
     try:
-        write(df, following, partition_by)
+        write(df, following, partition_by, buckets)
         if audit is not None:
             audit(spark.table(following))
         finish(spark, table, following, keep)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.checks.gates import EXAMPLES, GateFailed
 from millrace.sinks import staged
-from millrace.sinks.staged import Audit
+from millrace.sinks.staged import Audit, Buckets
 
 
 class SchemaChanged(ValueError):
@@ -43,6 +43,17 @@ def overwrite(df: DataFrame, table: str, partition_by: Sequence[str] = (), audit
     staged.replace(df, table, partition_by, audit=audit)
 
 
+def overwrite_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, audit: Audit | None = None) -> None:
+    """Replace the table as `overwrite` does, dealt into `buckets` files by a hash of `keys`, each sorted by them.
+
+    Joins and groupings on these keys then read the files where they lie: tables of the same number of buckets (or a
+    multiple) and key types are joined without a shuffle, as often as they are joined. Choose `buckets` so that a file
+    is some hundred MB. All rows of a key lie in one file, nulls too, so this is for keys of which none has many rows (an
+    order, an invoice); join busy keys by `enrich_hot`.
+    """
+    staged.replace(df, table, audit=audit, buckets=Buckets(list(keys), buckets))
+
+
 def overwrite_same_schema(df: DataFrame, table: str, partition_by: Sequence[str] = (), audit: Audit | None = None) -> None:
     """Replace the data of a published table as `overwrite` does; refuse, before writing, to change its columns."""
     spark = df.sparkSession

@@ -529,3 +529,45 @@ def test_day_by_day_states_equal_a_full_recompute(spark, schema, rows_of):
     expected = sales.daily_sales(once).withColumn("avg_order_value", F.col("avg_order_value").cast("decimal(18,6)"))
     got = sales.daily_sales_of(spark.table(table)).select(*[F.col(c).cast(t) for c, t in expected.dtypes])
     assert rows_of(got) == rows_of(expected)
+
+
+def test_tables_stored_by_key_are_joined_and_counted_where_they_lie(spark, schema, rows_of):
+    headers = spark.range(200).select((F.col("id") % 97).alias("k"), F.col("id").alias("h")).dropDuplicates(["k"])
+    items = spark.range(500).select(F.when(F.col("id") % 9 > 0, F.col("id") % 103).alias("k"), "id")
+    tables.overwrite_bucketed(headers, f"{schema}.headers", ["k"], 8)
+    tables.overwrite_bucketed(items, f"{schema}.items", ["k"], 8)
+    assert staged.bucketing(spark, f"{schema}.items") == staged.Buckets(["k"], 8)
+    assert len(spark.table(f"{schema}.items").inputFiles()) <= 8
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            joined = spark.table(f"{schema}.headers").join(spark.table(f"{schema}.items"), ["k"])
+            found = rows_of(joined)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            assert found == rows_of(headers.join(items, ["k"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    counted = spark.table(f"{schema}.items").groupBy("k").count()
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(counted) == rows_of(items.groupBy("k").count())
+
+
+def test_a_merge_keeps_the_buckets_of_a_table(spark, schema, rows_of):
+    table = f"{schema}.t"
+    tables.overwrite_bucketed(spark.range(50).select("id", F.lit("old").alias("v")), table, ["id"], 4)
+    merge.merge_upsert(spark, table, spark.range(45, 55).select("id", F.lit("new").alias("v")), ["id"])
+    assert rows_of(spark.table(table)) == sorted(((i, "old" if i < 45 else "new") for i in range(55)), key=repr)
+    assert staged.bucketing(spark, table) == staged.Buckets(["id"], 4)
+
+
+def test_a_failing_audit_keeps_the_old_bucketed_table(spark, schema, rows_of):
+    table = f"{schema}.t"
+    tables.overwrite_bucketed(spark.range(3), table, ["id"], 2)
+
+    def refuse(rows):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        tables.overwrite_bucketed(spark.range(9), table, ["id"], 2, audit=refuse)
+    assert spark.table(table).count() == 3
